@@ -16,6 +16,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
@@ -61,7 +73,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op3_bpe": op3_bpe, "op7_lm_scores": op7_lm_scores, "op8_line_dedup": op8_line_dedup, "op9_ann": op9_ann, "op10_near_dedup": op10_near_dedup}
+    return {"op1_quality": op1_quality, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op7_lm_scores": op7_lm_scores, "op8_line_dedup": op8_line_dedup, "op9_ann": op9_ann, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
