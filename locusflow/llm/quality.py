@@ -21,7 +21,7 @@ LABELLED = 12_000
 ROUNDS, PSEUDO, SURE = 2, 200, 0.95
 WORDS_LOG2, DENSE = 16, 10
 META = 1 << 12
-REJECT = 0.5  # documents whose probability of being good is lower go
+REJECT = 0.4  # documents whose probability of being good is lower go
 LEAST_ROWS = 5  # word buckets in fewer labelled rows are left out
 
 

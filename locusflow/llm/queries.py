@@ -34,6 +34,34 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    out = scan(_table(spark, sf_dir, "documents"))
+    mine = F.filter("found", lambda s: s["secret"])
+    spans = F.array_join(F.transform(mine, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", F.size("found").cast("long").alias("n_candidates"), F.size(mine).cast("long").alias("n_secrets"), spans.alias("spans"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, find, joined
+
+    out = find(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in BASE]
+    return out.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score
 
@@ -73,7 +101,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op7_lm_scores": op7_lm_scores, "op8_line_dedup": op8_line_dedup, "op9_ann": op9_ann, "op10_near_dedup": op10_near_dedup}
+    return {"op1_quality": op1_quality, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_url_filter": op6_url_filter, "op7_lm_scores": op7_lm_scores, "op8_line_dedup": op8_line_dedup, "op9_ann": op9_ann, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
