@@ -20,6 +20,9 @@ SPACE = " \t\n\x0b\x0c\r"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: Kinds of bytes, for shares of a text.
+KINDS_OF_BYTES = {name: np.isin(np.arange(256), [ord(c) for c in chars]) for name, chars in {"upper": UPPER, "digit": "0123456789", "mark": "!\"#$%&'()*+-/:;<=>?@[\\]^_`{}~|", "bar": "|", "stop": ".?!"}.items()}
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -119,6 +122,16 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def in_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
+    """A batch in slices of up to `most` bytes of text, or one row: numpy needs some 30 times that."""
+    _, ends = texts_of(batch.column(column))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs without white space. Returns their bytes end to end, their offsets in these
     (one more than words), and how many words each text has."""
@@ -129,7 +142,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         opens[offsets[:-1][offsets[:-1] < data.size]] = True
         starts[1:] &= ~inside[:-1] | opens[1:]
     at = np.flatnonzero(starts)
-    before = np.cumsum(inside)
+    before = np.cumsum(inside, dtype=np.int32 if data.size < 1 << 31 else np.int64)
     where = np.append(before[at] - 1, before[-1] if data.size else 0).astype(np.int64)
     return data[inside], where, np.diff(np.searchsorted(at, offsets))
 
@@ -166,6 +179,19 @@ def unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def pack_ints(x: np.ndarray, rising: bool = False) -> bytes:
+    """Non-negative integers below 2**31, their lowest bytes first, then the next: small values take
+    little room. rising: by their differences."""
+    x = np.diff(x, prepend=0) if rising else x
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_ints(x: bytes, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
+    found = np.ascontiguousarray(planes.T).view("<i4").ravel()
+    return np.cumsum(found, dtype=np.int32) if rising else found
+
+
 def quiet_threads() -> None:
     """Executor slots are the unit of parallelism; libraries must not add threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

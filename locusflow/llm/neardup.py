@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, hash_words, in_bitmap, lower_bytes, materialise, mix, parallelism, texts_of, words_of
+from .common import bitmap_of, hash_words, in_bitmap, in_slices, lower_bytes, materialise, mix, parallelism, texts_of, words_of
 from .components import connected_components
 
 MINIMA, TREES, DEPTH, LEAST_DEPTH, BLOCK = 128, 16, 8, 2, 64
@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, digest, minima) of each row; the last two are null for an empty set."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (own for batch in batches for own in in_slices(batch, 1)):
             out = {"doc_id": batch.column(0), "n": [], "digest": [], "minima": []}
             for found in shingle_sets(batch.column(1), words):
                 out["n"].append(found.size)
@@ -184,8 +184,7 @@ def confirmed(groups: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     def sets(batches):
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy())))
-            for a in range(0, batch.num_rows, 256):
-                own = batch.slice(a, 256)
+            for own in in_slices(batch, 1):
                 yield pa.RecordBatch.from_pydict({"doc_id": own.column(0), "shingles": pa.array([x.tobytes() for x in shingle_sets(own.column(1), words)], pa.binary())})
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).where("doc_id is not null").mapInArrow(sets, "doc_id long, shingles binary")
