@@ -9,15 +9,15 @@ have one row a block at most, so no key is hot.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, lower_bytes, pack, parallelism, string_array, texts_of, unpack, words_of
+from .common import hash_words, lower_bytes, materialise, pack, pack_ints, parallelism, string_array, texts_of, unpack, unpack_ints, words_of
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -25,16 +25,25 @@ BLOCK_SCHEMA = "block long, doc_ids array<long>, n_words array<int>, codes binar
 
 
 def make_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """BLOCK_SCHEMA from (doc_id, text). lower: A-Z count as a-z. To be materialised by the caller,
-    since block ids are given by task."""
+    """BLOCK_SCHEMA from (doc_id, text). lower: A-Z count as a-z. A block's id is a hash of what is
+    in it, so blocks made twice from the same rows in the same order have the same ids; see
+    settled()."""
 
-    def block(number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    def block(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         data, where, counts = words_of(*texts_of(texts))
         if lower:
             data = lower_bytes(data)
         coded = string_array(data, where).dictionary_encode()
-        words, at = texts_of(coded.dictionary)
-        columns = [[number], [ids], [counts.astype(np.int32)], [pack(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32))], [pack(words)], [pack(np.diff(at).astype(np.int32))]]
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        often = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")  # small numbers for frequent words
+        rank = np.empty(often.size, np.int32)
+        rank[often] = np.arange(often.size)
+        words, at = texts_of(coded.dictionary.take(pa.array(often)))
+        columns = [[0], [ids], [counts.astype(np.int32)], [pack_ints(rank[codes])], [pack(words)], [pack_ints(np.diff(at))]]
+        digest = hashlib.blake2b(repr(ids.to_pylist()).encode() + counts.tobytes(), digest_size=8)
+        for part in columns[3:]:
+            digest.update(part[0])
+        columns[0] = [int.from_bytes(digest.digest(), "little", signed=True)]
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
         arrays = []
         for column, kind in zip(columns, kinds, strict=True):
@@ -46,7 +55,7 @@ def make_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_B
         return pa.RecordBatch.from_arrays(arrays, ["block", "doc_ids", "n_words", "codes", "words", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, k, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
+        held, size = [], 0
         for batch in batches:
             _, ends = texts_of(batch.column(1))
             first = 0
@@ -56,17 +65,24 @@ def make_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_B
                 size += int(ends[last] - ends[first])
                 first = last
                 if size >= block_bytes or first < batch.num_rows:
-                    yield block(base + k, pa.concat_arrays([x.column(0) for x in held]), pa.concat_arrays([x.column(1) for x in held]))
-                    k, held, size = k + 1, [], 0
+                    yield block(pa.concat_arrays([x.column(0) for x in held]), pa.concat_arrays([x.column(1) for x in held]))
+                    held, size = [], 0
         if held:
-            yield block(base + k, pa.concat_arrays([x.column(0) for x in held]), pa.concat_arrays([x.column(1) for x in held]))
+            yield block(pa.concat_arrays([x.column(0) for x in held]), pa.concat_arrays([x.column(1) for x in held]))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCK_SCHEMA)
 
 
+def settled(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks that two branches of a plan can read. Rows of a plain scan come in the same order
+    each time, so its blocks can be made again; others are written first."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return blocks if "Exchange" not in plan and "AdaptiveSparkPlan" not in plan and "Scan parquet" in plan else materialise(blocks, "blocks")
+
+
 def words_in(words: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of a block's distinct words."""
-    return unpack(words, np.uint8), np.concatenate([[0], np.cumsum(unpack(sizes, np.int32), dtype=np.int64)])
+    return unpack(words, np.uint8), np.concatenate([[0], np.cumsum(unpack_ints(sizes), dtype=np.int64)])
 
 
 def join_words(
@@ -79,7 +95,7 @@ def join_words(
 
     measure(codes, row of the block): a number (int64) for each distinct word of a block, such as
     its count there; they are summed over all blocks. value(words, sums): arrays to hand back, one
-    entry a word, or a pair of lengths and flat entries. summary: bytes about a task's words; they
+    entry a word, or a pair of lengths and flat entries (then packed with pack_ints). summary: bytes about a task's words; they
     come as rows with a null block."""
     parts = parallelism(blocks.sparkSession)
 
@@ -97,7 +113,7 @@ def join_words(
                 for at in np.split(order, cuts):
                     if at.size:
                         d, w = texts_of(words.take(pa.array(at)))
-                        out.append({"part": int(part[at[0]]), "block": row["block"], "at": pack(at), "words": pack(d), "sizes": pack(np.diff(w).astype(np.int32)), "counts": pack(count[at])})
+                        out.append({"part": int(part[at[0]]), "block": row["block"], "at": pack_ints(at, True), "words": pack(d), "sizes": pack_ints(np.diff(w)), "counts": pack_ints(count[at])})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("words", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())]))
 
@@ -111,7 +127,7 @@ def join_words(
         coded = pa.concat_arrays([string_array(*x) for x in split]).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         sums = np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(sums, codes, np.concatenate([unpack(row["counts"], np.int64) for row in rows]))
+        np.add.at(sums, codes, np.concatenate([unpack_ints(row["counts"]).astype(np.int64) for row in rows]))
         found = value(coded.dictionary, sums)
         if summary:
             yield pa.RecordBatch.from_pylist([{"block": None, "at": None, "values": [summary(coded.dictionary, sums)]}], kind)
@@ -125,7 +141,7 @@ def join_words(
             first += own.size
             if ragged:
                 n = sizes[own].astype(np.int64)
-                values = [pack(sizes[own]), pack(flat[ragged_index(begins[own], n)])]
+                values = [pack_ints(n), pack_ints(flat[ragged_index(begins[own], n)])]
             else:
                 values = [pack(x[own]) for x in found]
             yield pa.RecordBatch.from_pylist([{"block": row["block"], "at": row["at"], "values": values}], kind)
@@ -145,7 +161,8 @@ def ragged_index(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if ends.size else 0)
 
 
-def with_values(blocks: DataFrame, values: DataFrame) -> DataFrame:
-    """Each block with its chunks of values, for a mapInArrow that joins them by position."""
+def with_values(blocks: DataFrame, values: DataFrame, words: bool = False) -> DataFrame:
+    """Each block, with its words if asked for, and its chunks of values, for a mapInArrow that
+    joins them by position."""
     gathered = values.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("at", "values")).alias("chunks"))
-    return blocks.select("block", "doc_ids", "n_words", "codes", "words", "sizes").join(gathered, "block", "left")
+    return blocks.select("block", "doc_ids", "n_words", "codes", *["words", "sizes"] * words).join(gathered, "block", "left")

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import join_words, make_blocks, ragged_index, with_values
-from .common import materialise, quiet_threads, unpack
+from .blocks import join_words, make_blocks, ragged_index, settled, with_values
+from .common import quiet_threads, unpack_ints
 
 
 @lru_cache(maxsize=2)
@@ -37,7 +37,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     Texts are split at ASCII white space, which no token of a vocabulary with word ends crosses.
     Each distinct word is encoded once for the whole corpus, in the task of its hash part."""
-    blocks = materialise(make_blocks(docs), "bpe-blocks")
+    blocks = settled(docs, make_blocks(docs))
 
     def ids(words: pa.Array, _):
         tokenizer = _tokenizer(tokenizer_path)
@@ -52,15 +52,18 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def ids_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a block's documents, end to end (uint32), and the offsets of the documents."""
-    codes, counts = unpack(row["codes"], np.int32), np.asarray(row["n_words"], np.int64)
-    n = unpack(row["sizes"], np.int32).size
+    codes, counts = unpack_ints(row["codes"]), np.asarray(row["n_words"], np.int64)
+    n = int(codes.max(initial=-1)) + 1
     sizes, begins, flat, first = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
+    seen = np.zeros(n, bool)
     for chunk in row["chunks"] or []:
-        at, own, got = unpack(chunk["at"], np.int32), unpack(chunk["values"][0], np.int32), unpack(chunk["values"][1], np.int32)
-        sizes[at] = own
+        at, own, got = unpack_ints(chunk["at"], True), unpack_ints(chunk["values"][0]), unpack_ints(chunk["values"][1])
+        sizes[at], seen[at] = own, True
         begins[at] = first + np.cumsum(own) - own
         first += got.size
         flat.append(got)
+    if not seen.all():
+        raise RuntimeError("a block's words came back incomplete: the rows of the input changed their order")
     ids = (np.concatenate(flat) if flat else np.zeros(0, np.int32)).astype(np.uint32)[ragged_index(begins[codes], sizes[codes])]
     upto = np.concatenate([[0], np.cumsum(sizes[codes])])
     return ids, upto[np.concatenate([[0], np.cumsum(counts)])]
