@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, hash_words, in_bitmap, lower_bytes, materialise, mix, string_array, texts_of, words_of
+from .common import bitmap_of, hash_words, in_bitmap, in_slices, lower_bytes, materialise, mix, texts_of, words_of
 
 WINDOW, LEAST_LITERALS, COVERAGE = 8, 4, 0.5
 #: A window in more items than this says nothing about which item it is from, and isn't counted.
@@ -120,8 +120,7 @@ def _windows_of(table: DataFrame, id_col: str, lengths: list[int], wanted=None)
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                own = batch.slice(a, 512)
+            for own in in_slices(batch, 1):
                 ids = own.column(0).to_pylist()
                 token, word, slot, starts = templates(own.column(1))
                 for size in lengths:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import join_words, make_blocks, with_values, words_in
-from .common import hash_words, materialise, mix, pack, texts_of, unpack
+from .common import hash_words, materialise, mix, texts_of, unpack, unpack_ints
 
 CLASSES = 16  # classes, and buckets in each
 ROWS_LOG2 = 15
@@ -39,19 +39,25 @@ def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-def tokens_of(row: dict, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's tokens: their numbers (the number of words is the end), their hashes, their place
-    in their text, and the offsets of the texts. keep: which documents to take."""
-    codes, n = unpack(row["codes"], np.int32), np.asarray(row["n_words"], np.int64)
+def slices_of(row: dict, keep: np.ndarray | None = None, most: int = 1 << 17):
+    """A block's texts, about `most` tokens at a time: the number of the first text and of the one
+    after the last; the tokens' numbers (the number of words is the end), their hashes, their place
+    in their text, and the offsets of the texts. keep: which texts to take."""
+    codes, n = unpack_ints(row["codes"]), np.asarray(row["n_words"], np.int64)
     hashes = np.append(hash_words(*words_in(row["words"], row["sizes"])), _END)
     if keep is not None:
         codes, n = codes[np.repeat(keep, n)], n[keep]
-    at = np.concatenate([[0], np.cumsum(n + 1)])
-    token = np.full(at[-1], hashes.size - 1, np.int64)
-    inside = np.ones(at[-1], bool)
-    inside[at[1:] - 1] = False
-    token[inside] = codes
-    return token, hashes[token], np.arange(at[-1]) - np.repeat(at[:-1], n + 1), at
+    words, first = np.concatenate([[0], np.cumsum(n)]), 0
+    while first < n.size:
+        last = max(first + 1, int(np.searchsorted(words, words[first] + most, "right")) - 1)
+        own = n[first:last]
+        at = np.concatenate([[0], np.cumsum(own + 1)])
+        token = np.full(at[-1], hashes.size - 1, np.int64)
+        inside = np.ones(at[-1], bool)
+        inside[at[1:] - 1] = False
+        token[inside] = codes[words[first] : words[last]]
+        yield first, last, token, hashes[token], np.arange(at[-1]) - np.repeat(at[:-1], own + 1), at
+        first = last
 
 
 def features(hashes: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
@@ -112,14 +118,14 @@ def train(blocks: DataFrame, rounds: int = ROUNDS) -> list[np.ndarray]:
             for batch in batches:
                 for row in batch.to_pylist():
                     keep = np.array([not held_out(x) for x in row["doc_ids"]], bool)
-                    _, hashes, place, _ = tokens_of(row, keep)
-                    total += hashes.size
-                    full, (klass, bucket) = features(hashes, place), class_of(hashes)
-                    for a in range(0, hashes.size, BATCH):
-                        s = slice(a, a + BATCH)
-                        first, second = rows_of([x[s] for x in full], klass[s])
-                        _step(own[0], seen[0], first, klass[s])
-                        _step(own[1], seen[1], second, bucket[s])
+                    for _, _, _, hashes, place, _ in slices_of(row, keep):
+                        total += hashes.size
+                        full, (klass, bucket) = features(hashes, place), class_of(hashes)
+                        for a in range(0, hashes.size, BATCH):
+                            s = slice(a, a + BATCH)
+                            first, second = rows_of([x[s] for x in full], klass[s])
+                            _step(own[0], seen[0], first, klass[s])
+                            _step(own[1], seen[1], second, bucket[s])
             if total:
                 moved = np.concatenate([(a - b).ravel() for a, b in zip(own, shared.value, strict=True)]) * np.float32(total)
                 parts = np.split(moved, slices)
@@ -151,7 +157,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def trained(n: int, row: dict) -> np.ndarray:
         keep = np.array([not held_out(x) for x in row["doc_ids"]], bool)
-        return np.bincount(unpack(row["codes"], np.int32)[np.repeat(keep, row["n_words"])], minlength=n).astype(np.int64)
+        return np.bincount(unpack_ints(row["codes"])[np.repeat(keep, row["n_words"])], minlength=n).astype(np.int64)
 
     def by_bucket(words: pa.Array, counts: np.ndarray) -> bytes:
         klass, bucket = class_of(hash_words(*texts_of(words)))
@@ -172,33 +178,33 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         weights, (in_bucket, kinds) = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                token, hashes, place, at = tokens_of(row)
-                n = unpack(row["sizes"], np.int32).size
+                n = unpack_ints(row["sizes"]).size
                 count = np.zeros(n + 1, np.int64)
                 for chunk in row["chunks"] or []:
-                    count[unpack(chunk["at"], np.int32)] = unpack(chunk["values"][0], np.int64)
+                    count[unpack_ints(chunk["at"], True)] = unpack(chunk["values"][0], np.int64)
                 count[n] = ends
                 base = np.log10((count + 0.5) / (n_all + 0.5 * (v_all + 1)))
-                klass, bucket = class_of(hashes)
-                flat = klass * CLASSES + bucket
-                logs = np.log10((count[token] + 0.5) / (in_bucket[flat] + 0.5 * (kinds[flat] + 1)))
-                full = features(hashes, place)
-                for a in range(0, hashes.size, BATCH):
-                    s = slice(a, a + BATCH)
-                    first, second = rows_of([x[s] for x in full], klass[s])
-                    r = np.arange(klass[s].size)
-                    logs[s] += np.log10(probabilities(weights[0], first)[r, klass[s]].astype(np.float64)) + np.log10(probabilities(weights[1], second)[r, bucket[s]].astype(np.float64))
-                starts, m = at[:-1], len(row["doc_ids"])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                        "held_out": pa.array([held_out(x) for x in row["doc_ids"]], pa.bool_()),
-                        "n_tokens": pa.array(np.diff(at), pa.int64()),
-                        "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64)[token], starts), pa.int64()),
-                        "train_tokens": pa.array([n_all] * m, pa.int64()),
-                        "base_score": pa.array(np.add.reduceat(base[token], starts), pa.float64()),
-                        "score": pa.array(np.add.reduceat(logs, starts), pa.float64()),
-                    }
-                )
-
-    return with_values(blocks, values).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                for i, j, token, hashes, place, at in slices_of(row):
+                    klass, bucket = class_of(hashes)
+                    flat = klass * CLASSES + bucket
+                    logs = np.log10((count[token] + 0.5) / (in_bucket[flat] + 0.5 * (kinds[flat] + 1)))
+                    full = features(hashes, place)
+                    for a in range(0, hashes.size, BATCH):
+                        s = slice(a, a + BATCH)
+                        first, second = rows_of([x[s] for x in full], klass[s])
+                        r = np.arange(klass[s].size)
+                        logs[s] += np.log10(probabilities(weights[0], first)[r, klass[s]].astype(np.float64)) + np.log10(probabilities(weights[1], second)[r, bucket[s]].astype(np.float64))
+                    starts, ids = at[:-1], row["doc_ids"][i:j]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": pa.array(ids, pa.int64()),
+                            "held_out": pa.array([held_out(x) for x in ids], pa.bool_()),
+                            "n_tokens": pa.array(np.diff(at), pa.int64()),
+                            "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64)[token], starts), pa.int64()),
+                            "train_tokens": pa.array([n_all] * len(ids), pa.int64()),
+                            "base_score": pa.array(np.add.reduceat(base[token], starts), pa.float64()),
+                            "score": pa.array(np.add.reduceat(logs, starts), pa.float64()),
+                        }
+                    )
+
+    return with_values(blocks, values, words=True).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KINDS_OF_BYTES, hash_words, lower_bytes, materialise, texts_of, words_of
+from .common import KINDS_OF_BYTES, hash_words, in_slices, lower_bytes, materialise, texts_of, words_of
 
 #: Expected number of labelled rows to fit on; rows are taken by a hash of their id.
 LABELLED = 12_000
@@ -146,8 +146,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                own = batch.slice(a, 256)
+            for own in in_slices(batch, 1):
                 buckets, times, cuts, dense = text_features(own.column(1))
                 parts = [slice(i, j) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": own.column(0), "words": pa.array([buckets[s].tobytes() for s in parts], pa.binary()), "times": pa.array([times[s].tobytes() for s in parts], pa.binary()), "dense": pa.array([x.tobytes() for x in dense], pa.binary()), "meta": own.column(2)})
@@ -259,8 +258,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False, rej
 
     def whole(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                own = batch.slice(a, 256)
+            for own in in_slices(batch, n):
                 buckets, times, cuts, dense = text_features(own.column(n))
                 text = [_text_row(buckets[i:j], times[i:j], d) for i, j, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), dense, strict=True)]
                 meta = [(np.array(m, np.int64), np.ones(len(m))) for m in own.column(n + 1).to_pylist()]
