@@ -254,7 +254,8 @@ def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False, rej
 
         return table.mapInArrow(compact, f"doc_id long, {result}")
     mine = docs.drop(*names)
-    n = len(mine.columns)
+    columns = mine.columns
+    n = len(columns)
 
     def whole(batches):
         for batch in batches:
@@ -262,7 +263,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False, rej
                 buckets, times, cuts, dense = text_features(own.column(n))
                 text = [_text_row(buckets[i:j], times[i:j], d) for i, j, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), dense, strict=True)]
                 meta = [(np.array(m, np.int64), np.ones(len(m))) for m in own.column(n + 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*own.columns[:n], *judge(text, meta)], [*mine.columns, *names])
+                yield pa.RecordBatch.from_arrays([*own.columns[:n], *judge(text, meta)], [*columns, *names])
 
     from pyspark.sql.types import StructType
 
