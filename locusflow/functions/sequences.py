@@ -116,11 +116,10 @@ def wf_complexity(seq: Column, alphabet: str = "DNA") -> Column:
 
 def z_complexity(seq: Column) -> Column:
     """Compressed bytes beyond an empty stream's, by letter. The compressor is zlib in an Arrow UDF."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
+    def run(s):
         import zlib
 
         empty = len(zlib.compress(b"", 9))
