@@ -170,7 +170,7 @@ def co_train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled
     n = labels.count()
     share = min(1.0, labelled / max(1, n))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labels
-    found = table.join(chosen, "doc_id").collect()
+    found = table.join(F.broadcast(chosen), "doc_id").collect()  # about `labelled` rows, whatever the input
     found.sort(key=lambda r: r["doc_id"])
     text, meta = _rows(found)
     y = np.array([r["good"] for r in found], float)
@@ -188,7 +188,6 @@ def co_train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled
 
     refit()
     spark = table.sparkSession
-    pool = table.join(labels.select("doc_id"), "doc_id", "left_anti") if rounds else None
     for _ in range(rounds):
         if not len(y):
             break
@@ -200,7 +199,9 @@ def co_train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled
                 out = [view.probability(_logits(view, rows)) for view, rows in zip(shared.value, (t, m), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "p0": pa.array(out[0], pa.float64()), "p1": pa.array(out[1], pa.float64())})
 
-        scored = materialise(pool.where("doc_id is not null").select(*table.columns).mapInArrow(run, "doc_id long, p0 double, p1 double"), "co-training")
+        # labelled ones are scored too and then left out, so that two numbers a row are shuffled and no features
+        everything = table.where("doc_id is not null").mapInArrow(run, "doc_id long, p0 double, p1 double")
+        scored = materialise(everything.join(labels.select("doc_id"), "doc_id", "left_anti"), "co-training")
         picks = []
         for k in (0, 1):
             for good, order in ((1.0, F.desc(f"p{k}")), (0.0, F.asc(f"p{k}"))):
