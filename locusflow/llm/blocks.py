@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, lower_bytes, materialise, pack, pack_ints, parallelism, string_array, texts_of, unpack, unpack_ints, words_of
+from .common import hash_words, lean, lower_bytes, materialise, pack, pack_ints, parallelism, string_array, texts_of, unpack, unpack_ints, words_of
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -54,6 +54,7 @@ def make_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_B
                 arrays.append(pa.array(column, kind))
         return pa.RecordBatch.from_arrays(arrays, ["block", "doc_ids", "n_words", "codes", "words", "sizes"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -99,6 +100,7 @@ def join_words(
     come as rows with a null block."""
     parts = parallelism(blocks.sparkSession)
 
+    @lean
     def chunks(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -119,6 +121,7 @@ def join_words(
 
     kind = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("values", pa.list_(pa.binary()))])
 
+    @lean
     def look_up(batches):
         rows = [row for batch in batches for row in batch.to_pylist()]
         if not rows:

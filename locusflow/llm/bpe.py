@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import join_words, make_blocks, ragged_index, settled, with_values
-from .common import quiet_threads, unpack_ints
+from .common import lean, quiet_threads, unpack_ints
 
 
 @lru_cache(maxsize=2)
@@ -81,6 +81,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     A null text gives no ids; the specials of the vocabulary are recognised in texts."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -113,6 +114,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, with_text: bool = False) ->
     Ids meet their pieces in the same pass, by number in the piece table."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * with_text
 
+    @lean
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -192,6 +195,22 @@ def unpack_ints(x: bytes, rising: bool = False) -> np.ndarray:
     return np.cumsum(found, dtype=np.int32) if rising else found
 
 
+def lean(run):
+    """run for mapInArrow, after which its worker hands freed memory back to the system. Workers stay
+    idle for a minute, beside those and the JVM of the next stage."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def quiet_threads() -> None:
     """Executor slots are the unit of parallelism; libraries must not add threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, hash_words, in_bitmap, in_slices, lower_bytes, materialise, mix, texts_of, words_of
+from .common import bitmap_of, hash_words, in_bitmap, in_slices, lean, lower_bytes, materialise, mix, texts_of, words_of
 
 WINDOW, LEAST_LITERALS, COVERAGE = 8, 4, 0.5
 #: A window in more items than this says nothing about which item it is from, and isn't counted.
@@ -118,6 +118,7 @@ def _windows_of(table: DataFrame, id_col: str, lengths: list[int], wanted=None)
     schema = "id long, h long, pos int, size int, n int, slots array<struct<k:int,v:long>>"
     kind = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("slots", pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())])))])
 
+    @lean
     def run(batches):
         for batch in batches:
             for own in in_slices(batch, 1):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, hash_words, in_bitmap, in_slices, lower_bytes, materialise, mix, parallelism, texts_of, words_of
+from .common import bitmap_of, hash_words, in_bitmap, in_slices, lean, lower_bytes, materialise, mix, parallelism, texts_of, words_of
 from .components import connected_components
 
 MINIMA, TREES, DEPTH, LEAST_DEPTH, BLOCK = 128, 16, 8, 2, 64
@@ -66,6 +66,7 @@ def minima_of(found: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, digest, minima) of each row; the last two are null for an empty set."""
 
+    @lean
     def run(batches):
         for batch in (own for batch in batches for own in in_slices(batch, 1)):
             out = {"doc_id": batch.column(0), "n": [], "digest": [], "minima": []}
@@ -81,6 +82,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 def forest_blocks(singles: DataFrame, trees: tuple[int, ...]) -> DataFrame:
     """(block, doc_id): documents to be compared, at most BLOCK + 1 in a block."""
 
+    @lean
     def keys(batches):
         for batch in batches:
             found = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TREES, DEPTH).astype(">u4")
@@ -99,6 +101,7 @@ def forest_blocks(singles: DataFrame, trees: tuple[int, ...]) -> DataFrame:
             m = a + 1 + int(ties[np.abs(ties - inner.size // 2).argmin()])
             stack += [(max(a, m - 1) if m - 1 > a else m, b), (a, m)]
 
+    @lean
     def run(batches):
         rows = [(b.column(0), b.column(1), b.column(2)) for b in batches]
         if not rows:
@@ -148,6 +151,7 @@ def likely_groups(blocks: DataFrame, singles: DataFrame, labels: DataFrame | Non
     rows = rows.join(labels, rows["doc_id"] == labels["node"], "left").select("block", "doc_id", "n", "minima", F.coalesce("component", "doc_id").alias("label")) if labels is not None else rows.select("block", "doc_id", "n", "minima", F.col("doc_id").alias("label"))
     least = threshold - 5 * (threshold * (1 - threshold) / MINIMA) ** 0.5
 
+    @lean
     def run(batches):
         for table in _in_groups(batches, 0):
             ids, where = np.unique(table.column(1).to_numpy(), return_index=True)
@@ -181,6 +185,7 @@ def confirmed(groups: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(bitmap_of(groups.select("doc_id"), F.xxhash64("doc_id")))
 
+    @lean
     def sets(batches):
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy())))
@@ -189,6 +194,7 @@ def confirmed(groups: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).where("doc_id is not null").mapInArrow(sets, "doc_id long, shingles binary")
 
+    @lean
     def run(batches):
         for table in _in_groups(batches, 0):
             by_id = {}

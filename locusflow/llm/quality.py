@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KINDS_OF_BYTES, hash_words, in_slices, lower_bytes, materialise, texts_of, words_of
+from .common import KINDS_OF_BYTES, hash_words, in_slices, lean, lower_bytes, materialise, texts_of, words_of
 
 #: Expected number of labelled rows to fit on; rows are taken by a hash of their id.
 LABELLED = 12_000
@@ -22,6 +22,7 @@ ROUNDS, PSEUDO, SURE = 2, 200, 0.95
 WORDS_LOG2, DENSE = 16, 10
 META = 1 << 12
 REJECT = 0.4  # documents whose probability of being good is lower go
+ROWS = 512  # scored at once
 LEAST_ROWS = 5  # word buckets in fewer labelled rows are left out
 
 
@@ -144,6 +145,7 @@ def _meta_columns(docs: DataFrame) -> list:
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, words, times, dense, meta): a compact row of features for each document."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for own in in_slices(batch, 1):
@@ -193,8 +195,9 @@ def co_train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled
             break
         shared = spark.sparkContext.broadcast(views)
 
+        @lean
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
                 t, m = _rows(batch.to_pylist())
                 out = [view.probability(_logits(view, rows)) for view, rows in zip(shared.value, (t, m), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "p0": pa.array(out[0], pa.float64()), "p1": pa.array(out[1], pa.float64())})
@@ -249,8 +252,9 @@ def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False, rej
     result = "p_text double, p_meta double, p_good double, accepted boolean"
     if not keep_columns:
 
+        @lean
         def compact(batches):
-            for batch in batches:
+            for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
                 yield pa.RecordBatch.from_arrays([batch.column(0), *judge(*_rows(batch.to_pylist()))], ["doc_id", *names])
 
         return table.mapInArrow(compact, f"doc_id long, {result}")
@@ -258,6 +262,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False, rej
     columns = mine.columns
     n = len(columns)
 
+    @lean
     def whole(batches):
         for batch in batches:
             for own in in_slices(batch, n):
