@@ -16,6 +16,7 @@ from ..operators import align as AL
 from ..operators import consensus as C
 from ..operators import intervals as I
 from ..operators import kmers as K
+from ..operators import repeats as R
 from ..streaming import session_counts
 
 _FROM, _TO = "abcdefghijklmnopqrstuvwxyz", ("acgt" * 7)[:26]
@@ -117,6 +118,10 @@ def islands(spark, sf_dir):
     return I.islands(_features(spark, sf_dir), ["loc"]).select("loc", "start", "end", "n")
 
 
+def piles(spark, sf_dir):
+    return R.piles(_features(spark, sf_dir), ["loc"], 3).select("loc", "start", "end", "n")
+
+
 def introns(spark, sf_dir):
     return I.introns(I.islands(_features(spark, sf_dir), ["loc"]), "loc")
 
@@ -164,7 +169,7 @@ def sessions(spark, sf_dir):
     return session_counts(_read(spark, sf_dir, "events"), "ts", "user_id", "30 minutes").select("user_id", "start", "n")
 
 
-QUERIES = {f.__name__: f for f in (overlaps, revcomp, validate, fasta_wrap, stitch, compose, truncate_circular, complexity, phred, trimmed_reads, kmer_histogram, kmer_codes, kmer_distance, contained, islands, introns, transcripts, parent_chain, majority_consensus, edit_alignment, local_alignment, motif_hits, sessions)}
+QUERIES = {f.__name__: f for f in (overlaps, revcomp, validate, fasta_wrap, stitch, compose, truncate_circular, complexity, phred, trimmed_reads, kmer_histogram, kmer_codes, kmer_distance, contained, islands, piles, introns, transcripts, parent_chain, majority_consensus, edit_alignment, local_alignment, motif_hits, sessions)}
 
 _COMP = "translate({}, 'acgt', 'tgca')"
 _ISLANDS = _FEATS + ", o AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY loc ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM f), g AS (SELECT *, sum(o) OVER (PARTITION BY loc ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o), i AS (SELECT loc, min(s) AS \"start\", max(e) AS \"end\", count(*) AS n FROM g GROUP BY loc, g) "
@@ -191,6 +196,7 @@ SQL = {
     "kmer_codes": _SEQS + f", h AS (SELECT kmer, count(*) AS n FROM ({_KMERS.format(k=8)}) GROUP BY kmer), r AS (SELECT kmer, n, reverse({_COMP.format('kmer')}) AS rc FROM h) SELECT ({_CODE('kmer')})::BIGINT AS code, round(length(regexp_replace(kmer, '[at]', '', 'g')) / 8, 6) AS gc, kmer, ({_CODE('rc')})::BIGINT AS other, n FROM r",
     "kmer_distance": f"SELECT round(sqrt(sum(power(coalesce(a.share, 0) - coalesce(b.share, 0), 2))), 9) AS distance FROM {_shares('en')} a FULL OUTER JOIN {_shares('de')} b USING (kmer)",
     "islands": _ISLANDS + 'SELECT loc, "start", "end", n FROM i',
+    "piles": _FEATS + ", o AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY loc ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3 THEN 0 ELSE 1 END AS o FROM f), g AS (SELECT *, sum(o) OVER (PARTITION BY loc ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT loc, min(s) AS \"start\", max(e) AS \"end\", count(*) AS n FROM g GROUP BY loc, g",
     "introns": _ISLANDS + ', p AS (SELECT loc, lag("end") OVER (PARTITION BY loc ORDER BY "start") AS a, "start" AS b FROM i) SELECT loc, a AS "start", b AS "end" FROM p WHERE a < b',
     "transcripts": _FEATS + ', p AS (SELECT *, CASE WHEN s < lag(e) OVER (PARTITION BY loc ORDER BY s) THEN 1 ELSE 0 END AS bad FROM f) SELECT loc, sum(e - s)::BIGINT AS spliced, min(s) AS "start", max(e) AS "end", min(s) = 0 AND sum(bad) = 0 AS valid FROM p GROUP BY loc',
     "parent_chain": "SELECT 'r' || r_regionkey AS id, 'r' || r_regionkey AS base_id, 0::BIGINT AS base_start, 1 AS base_orient FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE -1 END FROM nation UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, 7 + n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN -1 ELSE 1 END FROM supplier JOIN nation ON n_nationkey = s_nationkey",
