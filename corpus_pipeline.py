@@ -79,7 +79,7 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: Co-training, signatures and BPE merges are beyond SQL; tests hold run() to a plain version.
+#: Co-training, signatures and BPE merges are beyond SQL; a plain version to test run() against is still to be written.
 ORACLE_SQL = None
 
 
