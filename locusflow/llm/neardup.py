@@ -1,17 +1,19 @@
-"""MinHash near-dedup with an LSH forest.
-
-A document's set of word shingles gives 128 minima. Each of 16 trees sorts all documents by eight
-of them. Documents beside each other with at least two leading values in common form a region; a
-region of more than BLOCK documents is cut where the common prefix is shortest, so crowded regions
-are compared at a greater depth, and neighbouring blocks share a document. Within a block,
-sketches of all minima tell which documents may reach the threshold; their full sets are brought
-together and links are confirmed on them, most similar pairs first, skipping pairs that are already
-connected (a component at a threshold is the part of a maximum spanning tree above it).
-
-Documents with equal sets are first merged into one, by a digest of the set. Trees are taken in
-groups; between these, components are joined, so near copies that the first tree connects are not
-compared again. A pair at similarity 0.8 is missed by all trees with a chance below 1e-7, and the
-sketch leaves out a linked pair with a chance below 1e-6 (five standard deviations).
+"""MinHash near-dedup with banded keys, all pairs of equal keys compared.
+
+A document's set of word shingles gives 128 minima, 32 bands of four. Documents with equal minima
+in a band are compared. Up to BLOCK of them are one block; a crowd is cut into chunks of up to TILE
+documents, and every chunk meets every other (a tile for each two chunks), so no pair is left out,
+however many documents share a key. Within a block or tile, sketches of all minima tell which
+documents may reach the threshold; their full sets are brought together and links are confirmed on
+them, skipping pairs that are already connected.
+
+Documents with equal sets are first merged into one, by a digest of the set. Bands are taken in
+phases; between these, components are joined. A first phase compares neighbours in a few bands only,
+which connects most near copies; in the phases after it, which take all bands and all pairs, blocks
+and tiles within one component need not be compared. The pairs of a crowd that isn't connected are
+as many as the square of its size; their rows are that divided by TILE. A pair at similarity 0.8 is
+missed by all bands with a chance below 1e-7, and the sketch leaves out a linked pair with a chance
+below 1e-6 (five standard deviations).
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import bitmap_of, hash_words, in_bitmap, in_slices, lean, lower_bytes, materialise, mix, parallelism, texts_of, words_of
 from .components import connected_components
 
-MINIMA, TREES, DEPTH, LEAST_DEPTH, BLOCK = 128, 16, 8, 2, 64
-PHASES = ((0,), (1, 2, 3), tuple(range(4, TREES)))
+MINIMA, BANDS, DEPTH, BLOCK = 128, 32, 4, 64
+TILE, TILE_SHINGLES = 512, 1 << 19  # most documents and shingles of a chunk; a document may be larger
+#: Bands, and whether all pairs of a crowd are compared or only neighbours. All pairs of all bands are, in the end.
+PHASES = ((range(4), False), (range(10), True), (range(10, BANDS), True))
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(1, 1 << 63, MINIMA, dtype=np.uint64)
@@ -79,51 +83,79 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, digest binary, minima binary")
 
 
-def forest_blocks(singles: DataFrame, trees: tuple[int, ...]) -> DataFrame:
-    """(block, doc_id): documents to be compared, at most BLOCK + 1 in a block."""
+def band_blocks(singles: DataFrame, labels: DataFrame | None, bands: range, crowds: bool) -> DataFrame:
+    """(block, side, doc_id, label): documents to be compared, those of side 1 with those of side 2, those
+    of side 0 with all. Without crowds, more than BLOCK documents of a key are compared with
+    neighbours only."""
+    rows = singles.select("doc_id", "n", "minima", F.col("doc_id").alias("label"))
+    if labels is not None:
+        rows = singles.join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "minima", F.coalesce("component", "doc_id").alias("label"))
 
     @lean
     def keys(batches):
         for batch in batches:
-            found = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TREES, DEPTH).astype(">u4")
-            for t in trees:
-                yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(batch.num_rows, t), pa.int32()), "key": pa.array([x.tobytes() for x in found[:, t]], pa.binary()), "doc_id": batch.column(0)})
-
-    def cut(a: int, b: int, same: np.ndarray, out: list):
-        stack = [(a, b)]
-        while stack:
-            a, b = stack.pop()
-            if b - a <= BLOCK:
-                out.append((a, b))
-                continue
-            inner = same[a + 1 : b]  # same[i]: leading values that rows i - 1 and i share
-            ties = np.flatnonzero(inner == inner.min())
-            m = a + 1 + int(ties[np.abs(ties - inner.size // 2).argmin()])
-            stack += [(max(a, m - 1) if m - 1 > a else m, b), (a, m)]
+            found = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, BANDS, DEPTH).astype(np.uint64)
+            for b in bands:
+                key = mix((found[:, b] * _W[:DEPTH]).sum(1) + np.uint64(b)).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "label": batch.column(3), "doc_id": batch.column(0), "n": batch.column(1)})
 
     @lean
     def run(batches):
-        rows = [(b.column(0), b.column(1), b.column(2)) for b in batches]
-        if not rows:
+        columns = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not columns:
             return
-        tree, key, ids = (pa.chunked_array(x).combine_chunks() for x in zip(*rows, strict=True))
-        tree, ids = tree.to_numpy(), ids.to_numpy()
-        key = np.frombuffer(b"".join(key.to_pylist()), ">u4").reshape(-1, DEPTH)
-        same = np.zeros(ids.size, np.int64)
-        same[1:] = np.where(tree[1:] == tree[:-1], np.cumprod(key[1:] == key[:-1], axis=1).sum(1), 0)
-        starts = np.flatnonzero(same < LEAST_DEPTH)
+        key, label, ids, n = (np.concatenate(x) for x in zip(*columns, strict=True))
+        new = np.append(True, key[1:] != key[:-1])
+        starts = np.flatnonzero(new)
         ends = np.append(starts[1:], ids.size)
-        blocks: list[tuple[int, int]] = []
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            if b - a > 1:
-                cut(a, b, same, blocks)
-        if blocks:
-            base = TaskContext.get().partitionId() << 32
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.repeat(base + np.arange(len(blocks)), [b - a for a, b in blocks]), pa.int64()), "doc_id": pa.array(np.concatenate([ids[a:b] for a, b in blocks]), pa.int64())})
-
-    keyed = singles.select("doc_id", "minima").mapInArrow(keys, "tree int, key binary, doc_id long")
+        # the first and the last key may go on in other tasks; one label is one component
+        open_ = np.zeros(starts.size, bool)
+        open_[[0, -1]] = crowds
+        wanted = (label[starts] != label[ends - 1]) | open_
+        found = []
+        for a, b, edge in zip(starts[wanted].tolist(), ends[wanted].tolist(), open_[wanted].tolist(), strict=True):
+            if not edge and b - a <= BLOCK:
+                found.append((a, b, True))
+            elif not crowds:
+                found += [(i, min(i + BLOCK + 1, b), True) for i in range(a, b - 1, BLOCK)]
+            else:
+                upto = np.cumsum(n[a:b])
+                while a < b:
+                    full = int(np.searchsorted(upto, (upto[a - b - 1] if a > b - upto.size else 0) + TILE_SHINGLES, "right")) + b - upto.size
+                    end = min(b, a + TILE, max(a + 1, full))
+                    found.append((a, end, False))
+                    a = end
+        base = TaskContext.get().partitionId() << 32
+        for i in range(0, len(found), 1024):
+            part = found[i : i + 1024]
+            sizes = [b - a for a, b, _ in part]
+            at = np.concatenate([np.arange(a, b) for a, b, _ in part])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "key": pa.array(key[at], pa.int64()),
+                    "block": pa.array(np.repeat(base + i + np.arange(len(part)), sizes), pa.int64()),
+                    "whole": pa.array(np.repeat([w for _, _, w in part], sizes), pa.bool_()),
+                    "doc_id": pa.array(ids[at], pa.int64()),
+                    "label": pa.array(label[at], pa.int64()),
+                }
+            )
+
+    keyed = rows.mapInArrow(keys, "key long, label long, doc_id long, n long")
     parts = parallelism(singles.sparkSession)
-    return keyed.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id").mapInArrow(run, "block long, doc_id long")
+    marked = keyed.repartitionByRange(parts, "key", "label", "doc_id").sortWithinPartitions("key", "label", "doc_id").mapInArrow(run, "key long, block long, whole boolean, doc_id long, label long")
+    marked = materialise(marked, "bands")
+    blocks = marked.where("whole").select("block", F.lit(0).alias("side"), "doc_id", "label")
+    if not crowds:
+        return blocks
+    chunks = marked.where("not whole")
+    heads = chunks.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    a, b = (heads.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high")]) for x in "ab")
+    tiles = a.join(b, "key").where("block_a <= block_b and not (low_a = high_a and low_b = high_b and low_a = low_b)")
+    tiles = materialise(tiles.select(F.xxhash64("block_a", "block_b").alias("tile"), "block_a", "block_b"), "tiles")
+    one = tiles.where("block_a = block_b").select("tile", F.lit(0).alias("side"), F.col("block_a").alias("block"))
+    two = [tiles.where("block_a < block_b").select("tile", F.lit(i).alias("side"), F.col(c).alias("block")) for i, c in ((1, "block_a"), (2, "block_b"))]
+    sides = one.unionByName(two[0]).unionByName(two[1])
+    return blocks.unionByName(sides.join(chunks, "block").select(F.col("tile").alias("block"), "side", "doc_id", "label"))
 
 
 def _in_groups(batches, key: int):
@@ -144,42 +176,63 @@ def _in_groups(batches, key: int):
         yield held
 
 
-def likely_groups(blocks: DataFrame, singles: DataFrame, labels: DataFrame | None, threshold: float) -> DataFrame:
+def likely_groups(blocks: DataFrame, singles: DataFrame, threshold: float) -> DataFrame:
     """(grp, doc_id, label): documents of a block that sketches connect across components."""
-    sketched = singles.select("doc_id", "n", "minima")
-    rows = blocks.join(sketched, "doc_id")
-    rows = rows.join(labels, rows["doc_id"] == labels["node"], "left").select("block", "doc_id", "n", "minima", F.coalesce("component", "doc_id").alias("label")) if labels is not None else rows.select("block", "doc_id", "n", "minima", F.col("doc_id").alias("label"))
+    rows = blocks.join(singles.select("doc_id", "n", "minima"), "doc_id").select("block", "side", "doc_id", "n", "minima", "label")
     least = threshold - 5 * (threshold * (1 - threshold) / MINIMA) ** 0.5
 
     @lean
     def run(batches):
         for table in _in_groups(batches, 0):
-            ids, where = np.unique(table.column(1).to_numpy(), return_index=True)
-            if ids.size < 2:
-                continue
-            n, label = table.column(2).to_numpy()[where], table.column(4).to_numpy()[where]
-            sketch = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint32).reshape(-1, MINIMA)[where].astype(np.uint16)
-            near = (sketch[:, None] == sketch).mean(2) >= least
-            near &= (label[:, None] != label) & (np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n) - 1e-9)
-            busy = near.any(1)
-            left = set(np.flatnonzero(busy).tolist())
-            while left:  # connected parts, so that far pairs don't travel together
-                part, todo = [], [left.pop()]
-                while todo:
-                    i = todo.pop()
-                    part.append(i)
-                    new = [j for j in np.flatnonzero(near[i]).tolist() if j in left]
-                    left.difference_update(new)
-                    todo += new
-                part = sorted(part)
-                name = hashlib.blake2b(ids[part].tobytes(), digest_size=8).digest()
-                grp = int.from_bytes(name, "little", signed=True)
-                yield pa.RecordBatch.from_pydict({"grp": pa.array([grp] * len(part), pa.int64()), "doc_id": pa.array(ids[part], pa.int64()), "label": pa.array(label[part], pa.int64())})
+            side, ids, n, label = (table.column(k).to_numpy() for k in (1, 2, 3, 5))
+            sketch = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint32).reshape(-1, MINIMA).astype(np.uint16)
+            left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+            near = np.zeros((ids.size, ids.size), bool)
+            for at in (left[i : i + 64] for i in range(0, left.size, 64)):
+                x = at[:, None]
+                fits = (label[x] != label[right]) & (np.minimum(n[x], n[right]) >= threshold * np.maximum(n[x], n[right]) - 1e-9)
+                row, col = np.nonzero(fits)
+                for i in range(0, row.size, 1 << 15):
+                    u, v = at[row[i : i + (1 << 15)]], right[col[i : i + (1 << 15)]]
+                    hit = (sketch[u] == sketch[v]).sum(1) >= least * MINIMA
+                    near[u[hit], v[hit]] = near[v[hit], u[hit]] = True
+            rest = near.any(1)
+            while rest.any():  # connected parts, so that far pairs don't travel together
+                part = np.zeros(ids.size, bool)
+                new = np.flatnonzero(rest)[:1]
+                while new.size:
+                    part[new] = True
+                    rest[new] = False
+                    new = np.flatnonzero(near[new].any(0) & rest)
+                own, where = np.unique(ids[part], return_index=True)
+                grp = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_pydict({"grp": pa.array([grp] * own.size, pa.int64()), "doc_id": pa.array(own, pa.int64()), "label": pa.array(label[part][where], pa.int64())})
 
     parts = parallelism(blocks.sparkSession)
     return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, "grp long, doc_id long, label long").distinct()
 
 
+def shared_counts(sets_: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets have in common."""
+    size = len(sets_)
+    owner = np.repeat(np.arange(size), [x.size for x in sets_])
+    _, where, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    common = times > 1
+    column = np.cumsum(common) - 1
+    keep = common[where]
+    owner, where = owner[keep], column[where[keep]]
+    order = np.argsort(where, kind="stable")
+    owner, where = owner[order], where[order]
+    both = np.zeros((size, size), np.float32)
+    width = int(common.sum())
+    for first in range(0, width, 4096):
+        a, b = np.searchsorted(where, (first, first + 4096))
+        has = np.zeros((size, min(4096, width - first)), np.float32)
+        has[owner[a:b], where[a:b] - first] = 1
+        both += has @ has.T
+    return both.astype(np.int64)
+
+
 def confirmed(groups: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) links within groups, on full sets; enough of them to connect what is connected."""
     spark = docs.sparkSession
@@ -200,29 +253,18 @@ def confirmed(groups: DataFrame, docs: DataFrame, words: int, percent: int) -> D
             by_id = {}
             for d, label, raw in zip(table.column(1).to_pylist(), table.column(2).to_pylist(), table.column(3), strict=True):
                 by_id.setdefault((d, raw.as_py()), label)  # a doc_id on several texts has each of them
-            ids, sets_, root = [d for d, _ in by_id], [np.frombuffer(x, np.uint64) for _, x in by_id], list(by_id.values())
-            order = []
-            for i in range(len(ids)):
-                for j in range(i):
-                    if min(sets_[i].size, sets_[j].size) * 100 >= percent * max(sets_[i].size, sets_[j].size):
-                        order.append((i, j))
-            top = {x: x for x in root}
-
-            def of(x):
-                while top[x] != x:
-                    top[x] = top[top[x]]
-                    x = top[x]
-                return x
-
+            ids, sets_ = np.array([d for d, _ in by_id]), [np.frombuffer(x, np.uint64) for _, x in by_id]
+            root = np.unique(list(by_id.values()), return_inverse=True)[1]
+            size = np.array([x.size for x in sets_])
+            both = shared_counts(sets_)
+            linked = both * 100 >= percent * (size[:, None] + size - both)
             out = []
-            for i, j in order:
-                if ids[i] == ids[j] or of(root[i]) == of(root[j]):
-                    continue
-                x, y = sorted((sets_[i], sets_[j]), key=len)
-                both = int((y[np.minimum(np.searchsorted(y, x), y.size - 1)] == x).sum())
-                if both * 100 >= percent * (x.size + y.size - both):
-                    top[of(root[i])] = of(root[j])
-                    out.append((ids[j], ids[i]))
+            for i in range(ids.size):
+                other = np.flatnonzero(linked[i] & (root != root[i]))
+                if other.size:
+                    joined, first = np.unique(root[other], return_index=True)
+                    out += [(int(ids[i]), int(ids[j])) for j in other[first]]
+                    root[np.isin(root, joined)] = root[i]
             if out:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
@@ -245,9 +287,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     twins = real.select("digest", F.col("doc_id").alias("b")).join(singles.select("digest", F.col("doc_id").alias("a")), "digest").where("a <> b").select("a", "b")
     links = None
     labels = None
-    for trees in PHASES:
-        blocks = materialise(forest_blocks(singles, trees), "forest")
-        groups = materialise(likely_groups(blocks, singles, labels, percent / 100), "groups")
+    for bands, crowds in PHASES:
+        blocks = materialise(band_blocks(singles, labels, bands, crowds), "blocks")
+        groups = materialise(likely_groups(blocks, singles, percent / 100), "groups")
         new = materialise(confirmed(groups, docs, words, percent), "links")
         if new.isEmpty():
             continue

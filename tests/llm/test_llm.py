@@ -87,6 +87,31 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.components(empty).count() == 0
 
 
+def test_near_duplicates_in_crowds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 5001):  # edits of the base, as a rule linked with it and with no other
+        words = list(base)
+        for k in rng.choice(np.arange(0, 120, 6), 3, replace=False).tolist():
+            words[k] = f"e{d}x{k}"
+        rows.append((d, " ".join(words)))
+    plate = [f"p{i}" for i in range(60)]
+    rows += [(d, " ".join(plate + [f"o{d}x{i}" for i in range(40)])) for d in range(6000, 6600)]  # a crowd without links
+    rows += [(d + 1000, t + " end") for d, t in rows[5001::40]]  # near copies within it
+    got = {r.doc_id: r.component_id for r in neardup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), words=4).collect()}
+    sets = {d: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for d, t in rows for w in [t.split()]}
+    like = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert all(like(0, d) for d in range(1, 5001))
+    want = dict.fromkeys(range(5001), 0)
+    crowd = sorted(d for d in sets if d > 5000)
+    for i, d in enumerate(crowd):
+        want[d] = next((want[a] for a in crowd[:i] if like(a, d)), d)
+    assert got == want
+
+
 def test_ann(spark):
     import numpy as np
 
