@@ -5,7 +5,8 @@ numbers turn into typed placeholders, other words are lower-cased without punctu
 eight template tokens are joined by hash between documents and benchmark items; a pair is a leak
 if matching windows cover enough of the item and the slots agree: within one alignment, a value of
 the item must always meet the same value of the document, and the other way round. So the same
-question with other numbers or names is caught, and chance matches of placeholders are not.
+question with other numbers or names is caught, and chance matches of placeholders are not. Windows
+of the plain words are joined beside them, so that verbatim copies are found whatever the slots.
 """
 
 from __future__ import annotations
@@ -94,18 +95,21 @@ def templates(texts: pa.Array):
     return token[some], word[some], slot[some], starts
 
 
-def windows(token: np.ndarray, slot: np.ndarray, starts: np.ndarray, size: int):
-    """(text, place, hash) of all windows with enough literal words that lie within a text."""
+def windows(token: np.ndarray, slot: np.ndarray | None, starts: np.ndarray, size: int):
+    """(text, place, hash) of all windows that lie within a text; with slot, of those with enough
+    literal words, without, of plain words, whose hashes are others than those of templates."""
     n = token.size - size + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64),)
     rolled = np.zeros(n, np.uint64)
     for k in range(size):
         rolled += token[k : k + n] * _W[k]
-    rolled = mix(rolled + np.uint64(size)).view(np.int64)
-    literals = np.concatenate([[0], np.cumsum(~slot)])
+    rolled = mix(rolled + np.uint64(size if slot is not None else size + (1 << 32))).view(np.int64)
     text = np.repeat(np.arange(starts.size - 1), np.diff(starts))[:n]
-    fits = (np.arange(n) + size <= starts[1:][text]) & (literals[size:] - literals[:n] >= min(LEAST_LITERALS, (size + 1) // 2))
+    fits = np.arange(n) + size <= starts[1:][text]
+    if slot is not None:
+        literals = np.concatenate([[0], np.cumsum(~slot)])
+        fits &= literals[size:] - literals[:n] >= min(LEAST_LITERALS, (size + 1) // 2)
     at = np.flatnonzero(fits)
     return text[at], at - starts[text[at]], rolled[at]
 
@@ -115,8 +119,8 @@ def slots_of(word: np.ndarray, slot: np.ndarray, at: int, size: int) -> list[tup
 
 
 def _windows_of(table: DataFrame, id_col: str, lengths: list[int], wanted=None) -> DataFrame:
-    schema = "id long, h long, pos int, size int, n int, slots array<struct<k:int,v:long>>"
-    kind = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("slots", pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())])))])
+    schema = "id long, h long, plain boolean, pos int, size int, n int, slots array<struct<k:int,v:long>>"
+    kind = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("plain", pa.bool_()), ("pos", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("slots", pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())])))])
 
     @lean
     def run(batches):
@@ -124,8 +128,8 @@ def _windows_of(table: DataFrame, id_col: str, lengths: list[int], wanted=None)
             for own in in_slices(batch, 1):
                 ids = own.column(0).to_pylist()
                 token, word, slot, starts = templates(own.column(1))
-                for size in lengths:
-                    text, pos, h = windows(token, slot, starts, size)
+                for size, plain in ((size, plain) for size in lengths for plain in (False, True)):
+                    text, pos, h = windows(word, None, starts, size) if plain else windows(token, slot, starts, size)
                     if wanted is not None:
                         hit = in_bitmap(wanted.value, h)
                         text, pos, h = text[hit], pos[hit], h[hit]
@@ -133,7 +137,7 @@ def _windows_of(table: DataFrame, id_col: str, lengths: list[int], wanted=None)
                     for t, p, x in zip(text.tolist(), pos.tolist(), h.tolist(), strict=True):
                         n = int(starts[t + 1] - starts[t])
                         if wanted is not None or size == min(WINDOW, n):  # short items are one window
-                            rows.append({"id": ids[t], "h": x, "pos": p, "size": size, "n": n, "slots": [{"k": k, "v": v} for k, v in slots_of(word, slot, starts[t] + p, size)]})
+                            rows.append({"id": ids[t], "h": x, "plain": plain, "pos": p, "size": size, "n": n, "slots": [] if plain else [{"k": k, "v": v} for k, v in slots_of(word, slot, starts[t] + p, size)]})
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, kind)
 
@@ -144,31 +148,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     """(doc_id, item_id, n_windows, coverage, n_slots, reparameterised): leaked pairs. item_id is the
     smallest of the items with the same text; benchmark_classes() has the others.
 
-    A pair counts if windows of consistent alignments cover at least `coverage` of the item's.
+    A pair counts if template windows of consistent alignments cover at least `coverage` of the
+    item's, or else if windows of plain words do; then n_slots is 0 and reparameterised is false.
     Items with fewer than eight tokens are one window of their own length. Null texts and ids take
     no part; rows that repeat give one result. Windows of documents pass a fixed-size bitmap of the
     benchmark's before they are shuffled, so little of the corpus is; then a hash join, which Spark
     may split or broadcast by size."""
     spark = docs.sparkSession
     items = benchmark.where("text is not null and item_id is not null").groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-    lengths = [*range(2, WINDOW + 1)]
+    lengths = [*range(1, WINDOW + 1)]
     theirs = _windows_of(items, "item_id", lengths)
     per_hash = theirs.groupBy("h").agg(F.approx_count_distinct("id").alias("items"))
     theirs = materialise(theirs.join(per_hash, "h").where(F.col("items") <= COMMON).drop("items"), "benchmark-windows")
     lengths = sorted(r["size"] for r in theirs.select("size").distinct().collect())
     wanted = spark.sparkContext.broadcast(bitmap_of(theirs, F.col("h")))
-    sizes = theirs.groupBy("id").agg(F.countDistinct("pos").alias("of")).withColumnRenamed("id", "item_id")
+    sizes = theirs.groupBy("id", "plain").agg(F.countDistinct("pos").alias("of")).withColumnRenamed("id", "item_id")
     mine = materialise(_windows_of(docs.where("doc_id is not null"), "doc_id", lengths, wanted), "document-windows")
-    ours = theirs.select("h", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    met = mine.select("h", F.col("id").alias("doc_id"), "pos", "slots").join(ours, "h")
+    ours = theirs.select("h", "plain", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    met = mine.select("h", "plain", F.col("id").alias("doc_id"), "pos", "slots").join(ours, ["h", "plain"])
     pair = F.transform("slots", lambda s: F.struct(F.element_at(F.filter("item_slots", lambda t: t["k"] == s["k"]), 1)["v"].alias("theirs"), s["v"].alias("mine")))
-    aligned = met.withColumn("pairs", pair).groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    aligned = met.withColumn("pairs", pair).groupBy("doc_id", "item_id", "plain", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     n = F.size("pairs")
     agree = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["theirs"]))) == n) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["mine"]))) == n)
     changed = F.exists("pairs", lambda p: p["theirs"] != p["mine"])
-    per_pair = aligned.where(agree).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_windows"), F.max(n).alias("n_slots"), F.max(changed).alias("reparameterised"))
-    scored = per_pair.join(sizes, "item_id").withColumn("coverage", F.col("n_windows") / F.col("of"))
-    return scored.where(F.col("coverage") >= coverage).select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "coverage", F.col("n_slots").cast("long").alias("n_slots"), "reparameterised")
+    per_pair = aligned.where(agree).groupBy("doc_id", "item_id", "plain").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_windows"), F.max(n).alias("n_slots"), F.max(changed).alias("reparameterised"))
+    scored = per_pair.join(sizes, ["item_id", "plain"]).withColumn("coverage", F.col("n_windows") / F.col("of")).where(F.col("coverage") >= coverage)
+    best = F.min_by(F.struct("n_windows", "coverage", "n_slots", "reparameterised"), "plain").alias("best")
+    return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*").select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "coverage", F.col("n_slots").cast("long").alias("n_slots"), "reparameterised")
 
 
 def benchmark_classes(benchmark: DataFrame) -> DataFrame:

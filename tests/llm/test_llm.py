@@ -136,6 +136,14 @@ def test_decontaminate(spark, empty):
     assert sorted(map(tuple, decontaminate.benchmark_classes(bench).collect())) == [(0, 0), (9, 0)]
 
 
+def test_decontaminate_finds_verbatim_copies(spark):
+    items = ["What is 48 + 24 - 12?", "3 5 8 13 21 34 55 89 144 233", "Is it Anna, Ben, Carl, Dora, Emil, Fay, Gus or Hal?", "Photosynthesis", "1789", "How many legs do three spiders have altogether?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"Quiz\n{x} and so on") for i, x in enumerate(items)] + [(10, "What is 47 + 23 - 11?"), (11, "4 6 9 14 22 35 56 90 145 234"), (12, "In 1790 all was well.")]
+    got = {(r.doc_id, r.item_id, r.reparameterised) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i, False) for i in range(len(items))}
+
+
 def test_pii(docs, empty):
     got = {r.doc_id: [(s.kind, s.value) for s in r.spans if s.base] for r in pii.find(docs).collect()}
     assert got[8] == [("email", "bob.x@mail.example.com"), ("email", "_y@z.org"), ("ip", "192.168.1.7"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (212) 555-0100")]
