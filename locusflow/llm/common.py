@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import gc
@@ -26,14 +27,20 @@ _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Kinds of bytes, for shares of a text.
 KINDS_OF_BYTES = {name: np.isin(np.arange(256), [ord(c) for c in chars]) for name, chars in {"upper": UPPER, "digit": "0123456789", "mark": "!\"#$%&'()*+-/:;<=>?@[\\]^_`{}~|", "bar": "|", "stop": ".?!"}.items()}
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables that materialise() wrote: the session, the folder, and a weak reference of the JVM to the list of its files.
+_written: list[tuple] = []
 
 
 # -- tables in the shared folder ----------------------------------------------------------------
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all
+    runs in one process, as in tests, a new one; on a cluster that is an error, as executors could
+    not see a folder of the driver's machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="locusflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,32 +48,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs don't recompute it, and a lost
-    executor can't lose it."""
+    executor can't lose it. The table is deleted when no plan can read it any more; see sweep()."""
     spark = df.sparkSession
+    sweep()
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def scratch_mark() -> int:
-    """A mark for release()."""
-    return len(_written)
+    out = spark.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation().location()
+    _written.append((spark, path, spark.sparkContext._jvm.java.lang.ref.WeakReference(files)))
+    return out
 
 
-def release(since: int = 0) -> None:
-    """Delete the tables that materialise() wrote since a mark. Only for results that are used up."""
-    while len(_written) > since:
-        spark, path = _written.pop()
+def sweep(collect: bool = False) -> None:
+    """Delete the tables of materialise() that nothing refers to: every DataFrame over a table, lazy,
+    running or derived from another, holds the JVM's list of the table's files, so a table whose
+    list is gone has no reader left. collect: ask the JVM to look for garbage first."""
+    if collect and _written:
+        gc.collect()
+        with contextlib.suppress(Exception):
+            _written[-1][0].sparkContext._jvm.java.lang.System.gc()
+    rest = []
+    for spark, path, files in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            if files.get() is not None:
+                rest.append((spark, path, files))
+            else:
+                _delete(spark, path)
         except Exception:  # the session has ended; the folder's owner clears it
-            return
+            continue
+    _written[:] = rest
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-atexit.register(release)
+@atexit.register
+def _delete_all() -> None:
+    for spark, path, _ in _written:
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -74,17 +96,19 @@ def parallelism(spark: SparkSession) -> int:
 
 
 # -- fixed-size filters -------------------------------------------------------------------------
-def bitmap_of(df: DataFrame, hashed, bits: int = 1 << 25) -> np.ndarray:
-    """A bitmap of a column of hashes (long), of fixed size whatever the number of rows.
+def bitmap_of(df: DataFrame, hashed, expected: int = 1 << 20) -> np.ndarray:
+    """A bitmap of a column of hashes (long), of 16 bits for each expected row, but of 4 MB at least
+    and 32 MB at most.
 
-    It is made with Spark's bitmap aggregates, 4 KB a bucket; at most bits / 8 bytes reach the
-    driver. It may say yes to a few values that are not in it, never no to one that is."""
+    It is made with Spark's bitmap aggregates, 4 KB a bucket. It may say yes to a few values that
+    are not in it, never no to one that is, so it only saves work: what passes is joined."""
+    bits = min(1 << 28, max(1 << 25, 1 << (16 * max(expected, 1) - 1).bit_length()))
     slot = F.pmod(hashed, F.lit(bits))
     rows = (
         df.select((slot / 32768).cast("long").alias("bucket"), (slot % 32768).alias("bit"))
         .groupBy("bucket")
         .agg(F.bitmap_construct_agg("bit").alias("part"))
-        .collect()
+        .toLocalIterator()
     )
     out = np.zeros(bits // 8, dtype=np.uint8)
     for row in rows:
