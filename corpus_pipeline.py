@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run()
 writes each stage's result to the shared folder as Parquet, and the next stage gets it reread. All
-stages but the last return the columns of `documents`.
+stages but the last return the columns of `documents`. A stage first deletes those scratch tables
+of earlier ones that no DataFrame refers to any more.
 """
 
 from __future__ import annotations
@@ -10,24 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import materialise, release, scratch_mark
-
-_mark: list[int] = []
-
-
-def _begin() -> None:
-    """A stage starts when its predecessor's result is written, so the scratch tables of the
-    predecessor are used up; they are deleted, as they would take disk until the end."""
-    if _mark:
-        release(_mark.pop())
-    _mark.append(scratch_mark())
+from locusflow.llm.common import materialise, sweep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the co-trained quality classifier accepts."""
     from locusflow.llm.quality import classify
 
-    _begin()
+    sweep(collect=True)
     scored = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True)
     return scored.where("accepted").select(*docs.columns)
 
@@ -36,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that a smaller doc_id holds too; documents that this empties go."""
     from locusflow.llm.lines import dedup_lines
 
-    _begin()
+    sweep(collect=True)
     out = dedup_lines(docs)
     text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
     chars = F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
@@ -48,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, the smallest doc_id, stays of each group of near copies (five-word shingles)."""
     from locusflow.llm.neardup import components
 
-    _begin()
+    sweep(collect=True)
     found = components(docs, words=5)
     return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
@@ -57,7 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with a benchmark item, re-parameterised or not, go."""
     from locusflow.llm.decontaminate import leaks
 
-    _begin()
+    sweep(collect=True)
     found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
@@ -67,7 +58,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from locusflow.llm.bpe import round_trip
     from locusflow.llm.queries import tokenizer_path
 
-    _begin()
+    sweep(collect=True)
     return round_trip(docs, tokenizer_path())
 
 
@@ -86,19 +77,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        # the stage's own scratch tables come after _mark, its result must outlive them
-        kept = stage(spark, docs, sf_dir)
-        docs = _keep(kept, name)
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-def _keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage's result, drop the scratch tables behind it, and count it as older than them."""
-    from locusflow.llm import common
-
-    out = materialise(df, f"stage-{name}")
-    mine = common._written.pop()
-    if _mark:
-        release(_mark.pop())
-    common._written.append(mine)
-    return out
