@@ -144,6 +144,25 @@ def test_decontaminate_finds_verbatim_copies(spark):
     assert got == {(i, i, False) for i in range(len(items))}
 
 
+def test_decontaminate_large_classes(spark):
+    """Thousands of items of one template, names that open sentences, and a preface that all items share."""
+    text = "{} has {} apples. {} gives {} more apples to a friend before noon. How many apples are left in the basket?"
+    names = ["Tom", "Sara", "Ben", "Lucy", "Anna", "Carl"]
+    items = [(i, text.format(names[i % 6], 3 + i, names[(i + 1) % 6], 90000 + i)) for i in range(5000)]
+    preface = "Answer the following question with one of the options that are given below it. "
+    own = ["which large river runs through the old town of", "when did the first train leave the new station at"]
+    items += [(6000 + i, preface + own[i % 2] + f" {x} and why is it so well known there") for i, x in enumerate("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "Intro. " + items[7][1]), (2, items[4321][1] + " Outro."), (3, text.format("Zoe", 12, "Max", 8)), (5, "see: " + preface + "nothing else"), (6, items[5003][1].upper()), (7, LONG)]
+    got = {}
+    for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect():
+        got.setdefault(r.doc_id, []).append((r.item_id, r.reparameterised))
+    assert {k: got.get(k) for k in (1, 2, 3, 5, 7)} == {1: [(0, False)], 2: [(0, False)], 3: [(0, True)], 5: None, 7: None}
+    assert (6003, False) in got[6] and all(not x for _, x in got[6])
+    classes = {r.item_id: r.class_id for r in decontaminate.benchmark_classes(bench).collect()}
+    assert len(classes) == len(items) and {classes[i] for i in range(5000)} == {0}
+
+
 def test_pii(docs, empty):
     got = {r.doc_id: [(s.kind, s.value) for s in r.spans if s.base] for r in pii.find(docs).collect()}
     assert got[8] == [("email", "bob.x@mail.example.com"), ("email", "_y@z.org"), ("ip", "192.168.1.7"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (212) 555-0100")]
