@@ -17,28 +17,32 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     repeated rows of that id, in each of them). A null doc_id counts as no document and keeps its
     lines. Other columns pass through, whatever their names but those three.
 
-    Lines are known by two 64-bit hashes with different seeds. A first shuffle, with partial
-    aggregation, finds the keys to drop; they are written, so the second join is one that Spark can
-    split where a key is hot; the last one joins positions to texts.
+    Lines are known by two 64-bit hashes with different seeds. Hashes and places of all long lines are
+    written once. A shuffle of these, with partial aggregation, finds the keys to drop; they are
+    written, so the second join is one that Spark can split where a key is hot; the last one joins
+    places to texts.
     """
     mine = docs.drop("n_lines", "n_dropped", "kept")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    whole = mine.select(F.struct(*[F.col(f"`{c}`") for c in mine.columns]).alias("row"))  # so no name can clash
+    text, doc = F.col("row.text").cast("string"), F.col("row.doc_id")
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     key = F.btrim(F.translate("line", UPPER, LOWER), F.lit(SPACE))
     long_lines = (
-        mine.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), F.posexplode(lines).alias("pos", "line"))
-        .select("_d", "_t", "pos", key.alias("key"))
+        whole.select(doc.alias("doc"), F.xxhash64(text).alias("digest"), F.posexplode(lines).alias("pos", "line"))
+        .select("doc", "digest", "pos", key.alias("key"))
         .where(F.length("key") >= min_chars)
-        .select("_d", "_t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+        .select("doc", "digest", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
+    long_lines = materialise(long_lines, "lines")
     per_key = long_lines.groupBy("h1", "h2")
     if min_docs == 2:
-        found = per_key.agg(F.min("_d").alias("first"), F.max("_d").alias("last")).where("first < last")
+        found = per_key.agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     else:
-        found = long_lines.groupBy("h1", "h2", "_d").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.min("_d").alias("first"), F.count("_d").alias("n")).where(F.col("n") >= min_docs)
+        found = long_lines.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("doc").alias("n")).where(F.col("n") >= min_docs)
     repeated = materialise(found.select("h1", "h2", "first"), "line-keys")
-    drops = long_lines.join(repeated, ["h1", "h2"]).where(F.col("_d") > F.col("first")).groupBy("_d", "_t").agg(F.collect_set("pos").alias("_drop"))
-    joined = mine.withColumn("_t", F.xxhash64("text")).join(drops.withColumnRenamed("_t", "_u"), (F.col("doc_id") == F.col("_d")) & (F.col("_t") == F.col("_u")), "left")
+    drops = long_lines.join(repeated, ["h1", "h2"]).where(F.col("doc") > F.col("first")).groupBy("doc", "digest").agg(F.collect_set("pos").alias("gone"))
+    joined = whole.select("row", doc.alias("doc"), F.xxhash64(text).alias("digest")).join(drops, ["doc", "digest"], "left")
     n = F.size(lines)
-    left = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("_drop", F.array().cast("array<int>")))
-    kept = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
-    return joined.select(*[F.col(f"`{c}`") for c in mine.columns], n.cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    left = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.when(F.col("gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
+    return joined.select(*[F.col(f"row.`{c}`") for c in mine.columns], n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
