@@ -100,9 +100,23 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: Without redirects and other addresses in the html, as in the tables here, the rules alone decide.
+OP6_SQL = r"""
+WITH parts AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM parts),
+found AS (SELECT page_id, host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM cut),
+ruled AS (SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM found)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict, false AS blocked_alias, false AS allowed_alias FROM ruled
+"""
+
+
 def queries() -> dict:
     return {"op1_quality": op1_quality, "op2_decontaminate": op2_decontaminate, "op3_bpe": op3_bpe, "op4_secrets": op4_secrets, "op5_pii": op5_pii, "op6_url_filter": op6_url_filter, "op7_lm_scores": op7_lm_scores, "op8_line_dedup": op8_line_dedup, "op9_ann": op9_ann, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op6_url_filter": OP6_SQL, "op8_line_dedup": OP8_SQL}

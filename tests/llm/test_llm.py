@@ -177,13 +177,20 @@ def test_secrets(spark, empty):
 
 
 def test_urls(spark):
-    rows = [(1, "https://A.example.net/en/1#t"), (2, "http://x.net/q"), (3, "https://www.b.com/p/1.html?x=1"), (4, "http://m.b.com/p/1/"), (5, None), (6, "no scheme"), (7, "https://c.org"), (8, "https://safe.example/a")]
-    moved = [("https://b.com/p/1", "http://bad.net/z"), ("https://safe.example/a", "http://bad.net/y"), ("https://safe.example/a", "https://k.org/fr/x"), (None, "x")]
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), redirects=spark.createDataFrame(moved, "from_url string, to_url string")).collect()}
-    assert got == {
-        1: ("a.example.net", "/en/1", "example.net/en/", "allow"), 2: ("x.net", "/q", "net/", "block"), 3: ("www.b.com", "/p/1.html", None, "block"), 4: ("m.b.com", "/p/1/", None, "block"),
-        5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("c.org", "", None, "allow"), 8: ("safe.example", "/a", None, "allow"),
-    }
+    link = '<html><head><link href="{}" rel="canonical"></head></html>'
+    rows = [
+        (1, "https://A.example.net/en/1#t", None), (2, "http://x.net/q", ""), (3, "https://www.b.com/p?id=1", link.format("https://b.com/p?id=1&amp;x=2")), (4, "https://www.b.com/p?id=2", ""),
+        (5, None, "x"), (6, "no scheme", link.format("http://bad.net/")), (7, "https://c.org", '<meta http-equiv="refresh" content="0; url=/fr/">'), (8, "https://safe.example/a", ""),
+        (9, "HTTPS://www.B.com/p?id=1#part", ""), (10, "https://d.example/", '<meta property="og:url" content="http://bad.net/x">'), (10, "https://d.example/", ""),
+    ]
+    moved = [("https://b.com/p?id=1&x=2", "http://bad.net/z"), ("https://safe.example/a", "http://bad.net/y"), ("https://safe.example/a", "https://k.org/fr/x"), (None, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", F.lit(1).alias("links"), F.lit(2).alias("node"), F.lit(3).alias("said"))
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, redirects=spark.createDataFrame(moved, "from_url string, to_url string")).collect())
+    assert got == [
+        (1, "a.example.net", "/en/1", "example.net/en/", "allow"), (2, "x.net", "/q", "net/", "block"), (3, "www.b.com", "/p", None, "block"), (4, "www.b.com", "/p", None, "allow"),
+        (5, "", "", None, "allow"), (6, "", "", None, "allow"), (7, "c.org", "", None, "allow"), (8, "safe.example", "/a", None, "allow"), (9, "www.b.com", "/p", None, "block"),
+        (10, "d.example", "/", None, "block"), (10, "d.example", "/", None, "block"),
+    ]
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
