@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .spans import SPAN, with_matches
+from .spans import SPAN, let, overlaps, steps_of, with_matches
 
 BASE = ("email", "ip", "card", "phone")
 # The base patterns, with possessive quantifiers where giving back can't help, and
@@ -191,9 +191,18 @@ def find(docs: DataFrame, accept: float = 0.5) -> DataFrame:
 
     judged = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), chance(s).alias("p"), (s["kind"].isin(*BASE) & passes(s["kind"], s["value"])).alias("base")))
     out = found.withColumn("spans", F.when(F.size("spans") > 0, judged).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string,p:double,base:boolean>>")))
-    out = out.withColumn("_base", F.filter("spans", lambda s: s["base"]))
-    taken = F.filter("spans", lambda s: s["base"] | ((s["p"] >= accept) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    return out.select("doc_id", taken.alias("spans"))
+    def taken(spans: Column, steps: Column) -> Column:
+        """steps: for each of BASE the steps of its base spans."""
+
+        def free(s: Column) -> Column:
+            return ~F.exists(steps, lambda own: overlaps(own, s["start"], s["end"]))
+
+        return F.filter(spans, lambda s: s["base"] | ((s["p"] >= accept) & free(s)))
+
+    def base_of(spans: Column, kind: str) -> Column:
+        return steps_of(F.filter(spans, lambda s: s["base"] & (s["kind"] == kind)))
+
+    return out.select("doc_id", let(F.col("spans"), lambda spans: let(F.array(*[base_of(spans, kind) for kind in BASE]), lambda steps: taken(spans, steps))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
