@@ -108,7 +108,7 @@ def bitmap_of(df: DataFrame, hashed, expected: int = 1 << 20) -> np.ndarray:
         df.select((slot / 32768).cast("long").alias("bucket"), (slot % 32768).alias("bit"))
         .groupBy("bucket")
         .agg(F.bitmap_construct_agg("bit").alias("part"))
-        .toLocalIterator()
+        .collect()
     )
     out = np.zeros(bits // 8, dtype=np.uint8)
     for row in rows:

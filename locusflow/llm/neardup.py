@@ -14,8 +14,9 @@ a tree's first four minima are a region. Candidates are its members:
    frequent, the first n - ceil(0.8 n) + 1 hold the first one that a linked partner has too, and of
    the smaller set of the two it is among the first n - ceil(2 * 0.8 / 1.8 n) + 1 (its heads). So
    documents that have only a frequent passage in common don't meet. Lists of a shingle longer than
-   BLOCK are first compared with a pivot (the document that is in most of these lists: a base of
-   many edits is), and what that doesn't connect is compared chunk by chunk (tiles), heads with all.
+   BLOCK are compared chunk by chunk (tiles), heads with all. If tiles are many, each list is first
+   compared with a pivot (the document that is in most of these lists: a base of many edits is), and
+   tiles are made of what that doesn't connect.
 
 Sketches of all minima tell which candidates may reach the threshold; their full sets are brought
 together and links are confirmed on them. Documents with equal sets are first merged into one, by a
@@ -40,8 +41,8 @@ from .components import connected_components, merged_components
 
 MINIMA, TREES, DEPTH, BLOCK = 128, 32, 4, 64
 TILE, TILE_SHINGLES = 512, 1 << 19  # most documents and shingles of a chunk; a document may be larger
-#: Trees of the first pass, in two steps: the second one only compares what the first didn't connect.
-DEEP_TREES = (range(0, 32, 16), range(4, 32, 4))
+DEEP_TREES = range(0, 32, 8)  # of the first pass
+MANY_TILES = 1024  # with more, pivots come first
 COUNTS_LOG2, SLICES = 20, 64  # of shingle counts, and slices in which they are added up
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -250,13 +251,17 @@ def pivot_tiles(crowds: DataFrame) -> DataFrame:
     return one.unionByName(chunks.select("block", F.lit(2).alias("side"), "doc_id", "label"))
 
 
-def all_tiles(crowds: DataFrame) -> DataFrame:
-    """(block, side, doc_id, label): the heads of each chunk of a crowd against every chunk of the key,
-    but for two chunks of one and the same component."""
+def tiles_of(crowds: DataFrame) -> DataFrame:
+    """(tile, block_a, block_b): each chunk of a crowd that has heads with every chunk of the key, but
+    for two chunks of one and the same component."""
     bounds = [F.min("label").alias("low"), F.max("label").alias("high")]
     a, b = (rows.groupBy("key", "block").agg(*bounds).select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high")]) for rows, x in ((crowds.where("head"), "a"), (crowds, "b")))
     tiles = a.join(b, "key").where("not (low_a = high_a and low_b = high_b and low_a = low_b)")
-    tiles = materialise(tiles.select(F.xxhash64("block_a", "block_b").alias("tile"), "block_a", "block_b"), "tiles")
+    return materialise(tiles.select(F.xxhash64("block_a", "block_b").alias("tile"), "block_a", "block_b"), "tiles")
+
+
+def sides_of(tiles: DataFrame, crowds: DataFrame) -> DataFrame:
+    """(block, side, doc_id, label) of tiles: heads of the first chunk, all of the second one."""
     sides = [tiles.select("tile", F.lit(side).alias("side"), F.col(c).alias("block")).join(rows, "block") for side, c, rows in ((1, "block_a", crowds.where("head")), (2, "block_b", crowds))]
     return sides[0].unionByName(sides[1]).select(F.col("tile").alias("block"), "side", "doc_id", "label")
 
@@ -293,7 +298,7 @@ def prefix_rows(docs: DataFrame, crowd: DataFrame, words: int, percent: int) ->
         return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
     counts = np.zeros((SLICES, (1 << COUNTS_LOG2) // SLICES), np.int64)
-    for row in known.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").toLocalIterator():
+    for row in known.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():  # 8 MB
         counts[row["slice"]] = np.frombuffer(row["counts"], np.int64)
     shared = spark.sparkContext.broadcast(counts.ravel())
 
@@ -386,10 +391,10 @@ def shared_counts(sets_: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
-def confirmed(groups: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(groups: DataFrame, n: int, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) links within groups, on full sets; enough of them to connect what is connected."""
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(bitmap_of(groups.select("doc_id"), F.xxhash64("doc_id"), groups.count()))
+    wanted = spark.sparkContext.broadcast(bitmap_of(groups.select("doc_id"), F.xxhash64("doc_id"), n))
 
     @lean
     def sets(batches):
@@ -444,15 +449,16 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         """Add the links between the documents of blocks."""
         nonlocal links, labels
         groups = materialise(likely_groups(materialise(blocks, "blocks"), singles, percent / 100, deviations), "groups")
-        if groups.isEmpty():
+        n = groups.count()
+        if not n:
             return
-        new = materialise(confirmed(groups, docs, words, percent), "links")
+        new = materialise(confirmed(groups, n, docs, words, percent), "links")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = merged_components(labels, new)
 
-    for trees in DEEP_TREES:  # what these leave out, the pass over all trees has
-        compare(whole_blocks(regions(tree_rows(singles, labels, trees), cut=True)), 1)
+    # what this pass leaves out, the one over all trees has
+    compare(whole_blocks(regions(tree_rows(singles, labels, DEEP_TREES), cut=True)), 1)
     found = materialise(regions(tree_rows(singles, labels, range(TREES))), "regions")
     compare(whole_blocks(found))
     crowd = labelled(found.where("crowd").drop("label"), labels)
@@ -462,12 +468,14 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         ordered = ["key", "deep", "label", "doc_id", "n"]
         found = materialise(regions(labelled(rows, labels).select(*ordered), lists=True), "lists")
         crowds = materialise(of_several_components(found.where("crowd"), True), "crowds")
-        compare(whole_blocks(found).unionByName(pivot_tiles(crowds)))
-        if not crowds.isEmpty():
+        tiles = tiles_of(crowds)
+        if tiles.count() > MANY_TILES:
+            compare(whole_blocks(found).unionByName(pivot_tiles(crowds)))
             rows = rows.join(crowds.select("key").distinct(), "key", "left_semi")
             found = materialise(regions(labelled(rows, labels).select(*ordered), lists=True), "lists")
             crowds = materialise(of_several_components(found.where("crowd"), True), "crowds")
-            compare(whole_blocks(found).unionByName(all_tiles(crowds)))
+            tiles = tiles_of(crowds)
+        compare(whole_blocks(found).unionByName(sides_of(tiles, crowds)))
     # a copy has the component of the document that stands for it
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "node long, component long")
