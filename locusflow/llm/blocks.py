@@ -17,17 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, lean, lower_bytes, materialise, pack, pack_ints, parallelism, string_array, texts_of, unpack, unpack_ints, words_of
+from .common import hash_words, lean, lower_bytes, pack, pack_ints, parallelism, string_array, texts_of, unpack, unpack_ints, words_of
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 16 << 20
+PART_BYTES, MOST_PARTS = 16 << 20, 8  # of input for a hash part; a task holds the words of a part
 BLOCK_SCHEMA = "block long, doc_ids array<long>, n_words array<int>, codes binary, words binary, sizes binary"
 
 
 def make_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """BLOCK_SCHEMA from (doc_id, text). lower: A-Z count as a-z. A block's id is a hash of what is
-    in it, so blocks made twice from the same rows in the same order have the same ids; see
-    settled()."""
+    in it. Blocks that two branches of a plan read must be dealt() or written first."""
 
     def block(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         data, where, counts = words_of(*texts_of(texts))
@@ -74,11 +74,18 @@ def make_blocks(docs: DataFrame, lower: bool = False, block_bytes: int = BLOCK_B
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCK_SCHEMA)
 
 
-def settled(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Blocks that two branches of a plan can read. Rows of a plain scan come in the same order
-    each time, so its blocks can be made again; others are written first."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return blocks if "Exchange" not in plan and "AdaptiveSparkPlan" not in plan and "Scan parquet" in plan else materialise(blocks, "blocks")
+def parts_for(docs: DataFrame) -> int:
+    """Hash parts: a part for each PART_BYTES of input, but as many as shuffle partitions at least and
+    MOST_PARTS times that at most (estimates of joined inputs may be far too large)."""
+    least = parallelism(docs.sparkSession)
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, min(-(-size // PART_BYTES), MOST_PARTS * least))
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows shuffled by block. Branches of a plan that read all columns share this one shuffle, so they
+    see the same rows however often and wherever the tasks before it run."""
+    return rows.repartition(parts, "block")
 
 
 def words_in(words: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +95,7 @@ def words_in(words: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def join_words(
     blocks: DataFrame,
+    parts: int,
     measure: Callable[[np.ndarray, dict], np.ndarray] | None,
     value: Callable[[pa.Array, np.ndarray], list[np.ndarray]],
     summary: Callable[[pa.Array, list[np.ndarray]], bytes] | None = None,
@@ -98,8 +106,6 @@ def join_words(
     its count there; they are summed over all blocks. value(words, sums): arrays to hand back, one
     entry a word, or a pair of lengths and flat entries (then packed with pack_ints). summary: bytes about a task's words; they
     come as rows with a null block."""
-    parts = parallelism(blocks.sparkSession)
-
     @lean
     def chunks(batches):
         for batch in batches:
@@ -149,11 +155,9 @@ def join_words(
                 values = [pack(x[own]) for x in found]
             yield pa.RecordBatch.from_pylist([{"block": row["block"], "at": row["at"], "values": values}], kind)
 
-    columns = ["block", "words", "sizes"] + (["doc_ids", "n_words", "codes"] if measure else [])
     return (
-        blocks.select(*columns)
-        .mapInArrow(chunks, "part int, block long, at binary, words binary, sizes binary, counts binary")
-        .repartition(parts, "part")
+        blocks.mapInArrow(chunks, "part int, block long, at binary, words binary, sizes binary, counts binary")
+        .repartitionById(parts, F.col("part"))
         .mapInArrow(look_up, "block long, at binary, values array<binary>")
     )
 
@@ -164,8 +168,7 @@ def ragged_index(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if ends.size else 0)
 
 
-def with_values(blocks: DataFrame, values: DataFrame, words: bool = False) -> DataFrame:
-    """Each block, with its words if asked for, and its chunks of values, for a mapInArrow that
-    joins them by position."""
+def with_values(blocks: DataFrame, values: DataFrame) -> DataFrame:
+    """Each block and its chunks of values, for a mapInArrow that joins them by position."""
     gathered = values.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("at", "values")).alias("chunks"))
-    return blocks.select("block", "doc_ids", "n_words", "codes", *["words", "sizes"] * words).join(gathered, "block", "left")
+    return blocks.join(gathered, "block", "left")

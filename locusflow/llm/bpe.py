@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import join_words, make_blocks, ragged_index, settled, with_values
+from .blocks import dealt, join_words, make_blocks, parts_for, ragged_index, with_values
 from .common import lean, quiet_threads, unpack_ints
 
 
@@ -25,19 +25,14 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-@lru_cache(maxsize=2)
-def _pieces(path: str) -> pa.Array:
-    """Piece by id, with the space that decode() puts between pieces."""
-    tokenizer = _tokenizer(path)
-    return pa.array([(tokenizer.id_to_token(i) or "").encode() + b" " for i in range(tokenizer.get_vocab_size(with_added_tokens=True))], pa.large_binary())
-
-
-def encode_blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Blocks of docs, each with the ids of its distinct words; see ids_of().
+def encode_blocks(docs: DataFrame, tokenizer_path: str, pieces: bool = False) -> DataFrame:
+    """Blocks of docs, each with the ids of its distinct words; see ids_of(). pieces: also the pieces of
+    these ids, as array<struct<id, piece>>, from a join with piece_table().
 
     Texts are split at ASCII white space, which no token of a vocabulary with word ends crosses.
     Each distinct word is encoded once for the whole corpus, in the task of its hash part."""
-    blocks = settled(docs, make_blocks(docs))
+    parts = parts_for(docs)
+    blocks = dealt(make_blocks(docs), parts)
 
     def ids(words: pa.Array, _):
         tokenizer = _tokenizer(tokenizer_path)
@@ -47,7 +42,25 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         return sizes, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
 
-    return with_values(blocks, join_words(blocks, None, ids))
+    values = dealt(join_words(blocks, parts, None, ids), parts)
+    found = with_values(blocks, values)
+    return found.join(_pieces_of(values, tokenizer_path), "block", "left") if pieces else found
+
+
+def _pieces_of(values: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(block, pieces): the ids that occur in each block, joined with their pieces. The vocabulary has a
+    fixed number of rows, so it is broadcast."""
+
+    @lean
+    def distinct(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["block"] is not None:
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int64()), "ids": pa.array([np.unique(unpack_ints(row["values"][1]))], pa.list_(pa.int32()))})
+
+    ids = values.mapInArrow(distinct, "block long, ids array<int>").select("block", F.explode("ids").alias("id"))
+    joined = ids.join(F.broadcast(piece_table(values.sparkSession, tokenizer_path)), "id")
+    return joined.groupBy("block").agg(F.collect_set(F.struct("id", "piece")).alias("pieces"))
 
 
 def ids_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +82,11 @@ def ids_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return ids, upto[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def pieces_of(ids: np.ndarray, tokenizer_path: str) -> tuple[memoryview, np.ndarray]:
-    """The pieces of all ids, each with a space after it, and their offsets."""
-    found = _pieces(tokenizer_path).take(pa.array(ids.astype(np.int64)))
+def decoded(ids: np.ndarray, pieces: list[dict]) -> tuple[memoryview, np.ndarray]:
+    """The pieces of all ids, each with a space after it, end to end, and their offsets."""
+    own = sorted((x["id"], x["piece"]) for x in pieces or [])
+    known = pa.array([piece.encode() + b" " for _, piece in own], pa.large_binary())
+    found = known.take(pa.array(np.searchsorted(np.array([i for i, _ in own], np.int64), ids.astype(np.int64))))
     at = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
     return memoryview(found.buffers()[2] or b""), at
 
@@ -111,7 +126,8 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer_path: str, with_text: bool = False) -> DataFrame:
     """Encode and decode every row: doc_id, n_tokens, ids_sha256, decoded_sha256[, decoded].
 
-    Ids meet their pieces in the same pass, by number in the piece table."""
+    A null text is empty; rows that repeat are each answered, whatever their doc_id. The ids of a block
+    meet their pieces in a join; digests are taken of whole documents."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * with_text
 
     @lean
@@ -120,7 +136,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, with_text: bool = False) ->
             for row in batch.to_pylist():
                 ids, at = ids_of(row)
                 ids = np.ascontiguousarray(ids, "<u4")
-                raw, (data, where) = memoryview(ids.tobytes()), pieces_of(ids, tokenizer_path)
+                raw, (data, where) = memoryview(ids.tobytes()), decoded(ids, row["pieces"])
                 out = {"doc_id": row["doc_ids"], "n_tokens": np.diff(at), "ids_sha256": [], "decoded_sha256": [], "decoded": []}
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     text = bytes(data[where[a] : where[b] - 1]) if b > a else b""
@@ -130,4 +146,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, with_text: bool = False) ->
                         out["decoded"].append(text.decode())
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, {"doc_id": pa.int64(), "n_tokens": pa.int64()}.get(k, pa.string())) for k, v in out.items() if with_text or k != "decoded"})
 
-    return encode_blocks(docs, tokenizer_path).mapInArrow(run, schema)
+    return encode_blocks(docs, tokenizer_path, pieces=True).mapInArrow(run, schema)

@@ -4,12 +4,15 @@ A word's hash gives its class (of 16) and its bucket in the class (of 16). The p
 word is p(class | history) * p(bucket | class, history) * p(word | bucket): two softmaxes over
 hashed features of the history, and smoothed counts of the training documents within a bucket.
 Features: a bias, the word before, the two words before as a pair, and two skips (the second and
-the third word before). Both weight tables have a fixed size, so they are broadcast and their
-updates gathered whatever the size of the corpus.
-
-Training runs in rounds. In each, every task takes minibatch gradient steps (Adagrad) over its
-share of the blocks from the common weights, and the steps of all tasks are averaged by tokens.
-Every training token is used once.
+the third word before). The rows of the weight tables grow with the training tokens (a row for
+ROW_TOKENS of them) up to 2 ** MOST_ROWS_LOG2, as the tables are broadcast; the table of distinct
+words and their counts grows without a bound and is joined, not broadcast.
+
+Training: a first pass counts each feature row's classes, which gives the weights to start from. In
+each round after it, all tasks compute with the common weights what the model expects, their sums
+are added up, and each weight moves by iterative scaling, log((seen + s) / (expected + s)) by the
+number of features. So every training token counts in every round, and weights don't depend on the
+number of tasks, but for rounding.
 """
 
 from __future__ import annotations
@@ -21,17 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import join_words, make_blocks, with_values, words_in
-from .common import hash_words, materialise, mix, texts_of, unpack, unpack_ints
+from .blocks import join_words, make_blocks, parts_for, with_values, words_in
+from .common import hash_words, lean, materialise, mix, texts_of, unpack, unpack_ints
 
 CLASSES = 16  # classes, and buckets in each
-ROWS_LOG2 = 15
-BATCH = 1 << 16
-RATE = 0.15
-ROUNDS = 2
+ROW_TOKENS, LEAST_ROWS_LOG2, MOST_ROWS_LOG2 = 1024, 14, 20
+BATCH = 1 << 15
+FEATURES, SMOOTH, START = 5, 60.0, 0.4  # SMOOTH: rows count as if seen so often more; START: share of a row's log ratio
+ROUNDS = 1
+BLOCKS_EACH, SLICES = 8, 64  # blocks of a training task, and slices in which sums are added up
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _SALTS = np.array([0xA4093822299F31D1, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6D], np.uint64)
-_WIDE = np.uint64(64 - ROWS_LOG2)
 
 
 def held_out(doc_id) -> bool:
@@ -81,66 +84,82 @@ def probabilities(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return logits
 
 
-def rows_of(full: list[np.ndarray], klass: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of the two weight tables; the first rows are the biases."""
-    first = [np.zeros(klass.size, np.int64)] + [(x >> _WIDE).astype(np.int64) for x in full]
+def rows_of(full: list[np.ndarray], klass: np.ndarray, log2: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of the two weight tables of 2 ** log2 rows; the first rows are the biases."""
+    wide = np.uint64(64 - log2)
+    first = [np.zeros(klass.size, np.int64)] + [(x >> wide).astype(np.int64) for x in full]
     salt = mix(klass.astype(np.uint64) + np.uint64(77))
-    return first, [klass.astype(np.int64)] + [((x * _SALTS[1] ^ salt) * _SALTS[2] >> _WIDE).astype(np.int64) for x in full]
+    return first, [klass.astype(np.int64)] + [((x * _SALTS[1] ^ salt) * _SALTS[2] >> wide).astype(np.int64) for x in full]
 
 
 def class_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint64(60)).astype(np.int64), (hashes >> np.uint64(56)).astype(np.int64) & 15
 
 
-def _step(weights: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], truth: np.ndarray) -> None:
-    error = probabilities(weights, rows)
-    error[np.arange(truth.size), truth] -= 1
-    column = np.arange(CLASSES)
-    flat = error.ravel()
-    for r in rows:
-        gradient = np.bincount((r[:, None] * CLASSES + column).ravel(), flat, weights.size).reshape(weights.shape).astype(np.float32)
-        seen += gradient * gradient
-        weights -= RATE * gradient / np.sqrt(seen + 1.0)
+def rows_log2(tokens: int) -> int:
+    return min(MOST_ROWS_LOG2, max(LEAST_ROWS_LOG2, (max(1, tokens // ROW_TOKENS) - 1).bit_length()))
 
 
-def train(blocks: DataFrame, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """The two weight tables, float32."""
+def _gathered(blocks: DataFrame, log2: int, weights: list[np.ndarray] | None) -> np.ndarray:
+    """Sums over all training tokens, (2, rows, CLASSES): of what is seen without weights, else of
+    what a model with these weights expects."""
     spark = blocks.sparkSession
-    weights = [np.zeros((1 << ROWS_LOG2, CLASSES), np.float32) for _ in range(2)]
-    slices = 64
-    workers = max(1, 2 * spark.sparkContext.defaultParallelism)
-    for k in range(rounds):
-        shared = spark.sparkContext.broadcast(weights)
-
-        def learn(batches, shared=shared):
-            own, seen = [w.copy() for w in shared.value], [np.zeros_like(w) for w in shared.value]
-            total = 0
-            for batch in batches:
-                for row in batch.to_pylist():
-                    keep = np.array([not held_out(x) for x in row["doc_ids"]], bool)
-                    for _, _, _, hashes, place, _ in slices_of(row, keep):
-                        total += hashes.size
-                        full, (klass, bucket) = features(hashes, place), class_of(hashes)
-                        for a in range(0, hashes.size, BATCH):
-                            s = slice(a, a + BATCH)
-                            first, second = rows_of([x[s] for x in full], klass[s])
-                            _step(own[0], seen[0], first, klass[s])
-                            _step(own[1], seen[1], second, bucket[s])
-            if total:
-                moved = np.concatenate([(a - b).ravel() for a, b in zip(own, shared.value, strict=True)]) * np.float32(total)
-                parts = np.split(moved, slices)
-                yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "moved": pa.array([x.tobytes() for x in parts], pa.binary()), "tokens": pa.array([total] * slices, pa.int64())})
-
-        def add(table: pa.Table) -> pa.Table:
-            moved = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["moved"].to_pylist())
-            return pa.table({"slice": table["slice"].slice(0, 1), "moved": pa.array([(moved / max(1, sum(table["tokens"].to_pylist()))).astype(np.float32).tobytes()], pa.binary())})
-
-        share = blocks.where((F.xxhash64("block") % rounds + rounds) % rounds == k).coalesce(workers)
-        got = share.mapInArrow(learn, "slice int, moved binary, tokens long").groupBy("slice").applyInArrow(add, "slice int, moved binary").collect()
-        if got:
-            flat = np.concatenate([np.frombuffer(row["moved"], np.float32) for row in sorted(got, key=lambda r: r["slice"])])
-            weights = [w + d.reshape(w.shape) for w, d in zip(weights, np.split(flat, 2), strict=True)]
-        shared.unpersist()
+    shared = spark.sparkContext.broadcast(weights)
+    cells = (1 << log2) * CLASSES
+
+    @lean
+    def run(batches):
+        total = np.zeros((2, cells), np.float64)
+        column, some = np.arange(CLASSES), False
+        for batch in batches:
+            for row in batch.to_pylist():
+                keep = np.array([not held_out(x) for x in row["doc_ids"]], bool)
+                for _, _, _, hashes, place, _ in slices_of(row, keep):
+                    some = some or hashes.size > 0
+                    full, truths = features(hashes, place), class_of(hashes)
+                    for a in range(0, hashes.size, BATCH):
+                        s = slice(a, a + BATCH)
+                        for k, rows in enumerate(rows_of([x[s] for x in full], truths[0][s], log2)):
+                            if shared.value is None:
+                                for r in rows:
+                                    own, times = np.unique(r * CLASSES + truths[k][s], return_counts=True)
+                                    total[k][own] += times
+                                continue
+                            p = probabilities(shared.value[k], rows).ravel()
+                            for r in rows:
+                                own, at = np.unique(r, return_inverse=True)
+                                sums = np.bincount((at[:, None] * CLASSES + column).ravel(), p, own.size * CLASSES)
+                                total[k].reshape(-1, CLASSES)[own] += sums.reshape(-1, CLASSES)
+        if some:
+            parts = [x.astype(np.float32) for x in np.split(total.ravel(), SLICES)]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "sums": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table["sums"])
+        return pa.table({"slice": table["slice"].slice(0, 1), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    tasks = max(1, -(-blocks.count() // BLOCKS_EACH))
+    found = np.zeros((SLICES, 2 * cells // SLICES), np.float32)
+    for row in blocks.coalesce(tasks).mapInArrow(run, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect():
+        found[row["slice"]] = np.frombuffer(row["sums"], np.float32)
+    shared.unpersist()
+    return found.reshape(2, 1 << log2, CLASSES)
+
+
+def train(blocks: DataFrame, tokens: int, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """The two weight tables, float32, of rows_log2(tokens) rows."""
+    log2 = rows_log2(tokens)
+    seen = _gathered(blocks, log2, None)
+    # biases: row 0 for classes, a row for each class for buckets; other rows start from what they add to them
+    prior = [(x[:k].sum(0) + 1) / (x[:k].sum() + CLASSES) for x, k in zip(seen, (1, CLASSES), strict=True)]
+    weights = []
+    for x, p, k in zip(seen, prior, (1, CLASSES), strict=True):
+        w = START * np.log((x + SMOOTH * p) / ((x.sum(1, keepdims=True) + SMOOTH) * p))
+        w[:k] = np.log((x[:k] + SMOOTH * p) / (x[:k].sum(1, keepdims=True) + SMOOTH))
+        weights.append(w.astype(np.float32))
+    for _ in range(rounds):
+        expected = _gathered(blocks, log2, weights)
+        weights = [(w + np.log((x + SMOOTH * p) / (e + SMOOTH * p)) / FEATURES).astype(np.float32) for w, x, e, p in zip(weights, seen, expected, prior, strict=True)]
     return weights
 
 
@@ -164,7 +183,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         flat = klass * CLASSES + bucket
         return np.concatenate([np.bincount(flat, counts, CLASSES**2), np.bincount(flat, counts > 0, CLASSES**2)]).astype(np.int64).tobytes()
 
-    values = materialise(join_words(blocks, trained, lambda _, counts: [counts], by_bucket), "lm-counts")
+    values = materialise(join_words(blocks, parts_for(docs), trained, lambda _, counts: [counts], by_bucket), "lm-counts")
     sums = np.zeros((2, CLASSES**2), np.int64)
     for row in values.where("block is null").select(F.col("values")[0].alias("x")).toLocalIterator():
         sums += np.frombuffer(row["x"], np.int64).reshape(2, -1)
@@ -172,8 +191,10 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     if ends:
         sums[:, int(klass[0] * CLASSES + bucket[0])] += [ends, 1]
     n_all, v_all = int(sums[0].sum()), int(sums[1].sum())
-    shared = spark.sparkContext.broadcast((train(blocks, rounds), sums))
+    weights = train(blocks, n_all, rounds)
+    shared, log2 = spark.sparkContext.broadcast((weights, sums)), rows_log2(n_all)
 
+    @lean
     def run(batches):
         weights, (in_bucket, kinds) = shared.value
         for batch in batches:
@@ -191,7 +212,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                     full = features(hashes, place)
                     for a in range(0, hashes.size, BATCH):
                         s = slice(a, a + BATCH)
-                        first, second = rows_of([x[s] for x in full], klass[s])
+                        first, second = rows_of([x[s] for x in full], klass[s], log2)
                         r = np.arange(klass[s].size)
                         logs[s] += np.log10(probabilities(weights[0], first)[r, klass[s]].astype(np.float64)) + np.log10(probabilities(weights[1], second)[r, bucket[s]].astype(np.float64))
                     starts, ids = at[:-1], row["doc_ids"][i:j]
@@ -207,4 +228,4 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                         }
                     )
 
-    return with_values(blocks, values, words=True).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_values(blocks, values).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,10 +1,13 @@
 """The dealt operators on small tables with the odd cases, against plain versions."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("locusflow.llm.queries")
@@ -63,11 +66,48 @@ def test_lm(docs, empty):
     got = {r.doc_id: r for r in lm.score(docs).collect()}
     tokens = [(d, re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) + [None]) for d, t in TEXTS]
     train = [w for d, ws in tokens if d is None or zlib.crc32(str(d).encode()) % 5 != 1 for w in ws]
+    count = Counter(train)
     for d, ws in tokens:
         r = got[d]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in set(train) for w in ws) if len(ws) < 99 else r.n_known, len(train))
-        assert r.score < 0 and r.base_score < 0
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(w in count for w in ws), len(train))
+        base = sum(math.log10((count[w] + 0.5) / (len(train) + 0.5 * (len(count) + 1))) for w in ws)
+        assert r.score < 0 and math.isclose(r.base_score, base, rel_tol=1e-9)
     assert lm.score(empty).count() == 0
+    # weights and scores don't hang on how the rows are dealt
+    again = {r.doc_id: r.score for r in lm.score(docs.repartition(7)).collect()}
+    assert all(math.isclose(r.score, again[d], rel_tol=1e-5) for d, r in got.items())
+
+
+def test_lm_scores_are_log_probabilities(spark):
+    """Each token's score against the model taken apart in plain Python, and sums of 1 over buckets."""
+    import numpy as np
+
+    from locusflow.llm.blocks import make_blocks
+    from locusflow.llm.common import hash_words, texts_of, words_of
+
+    rng = np.random.default_rng(1)
+    texts = [(i, " ".join(rng.choice(WORDS, 30))) for i in range(200)]
+    table = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).persist()
+    n_all = sum(len(t.split()) + 1 for i, t in texts if not lm.held_out(i))
+    weights = lm.train(make_blocks(table, lower=True), n_all)
+    train = Counter(w for i, t in texts if not lm.held_out(i) for w in [*t.split(), None])
+    hashes = {w: int(hash_words(*words_of(*texts_of(pa.array([w])))[:2])[0]) if w else int(lm._END) for w in [*WORDS, None]}
+    spot = {w: tuple(int(x[0]) for x in lm.class_of(np.array([h], np.uint64))) for w, h in hashes.items()}
+    log2 = lm.rows_log2(n_all)
+    got = {r.doc_id: r.score for r in lm.score(table).collect()}
+    for i, text in texts[:20]:
+        words = [*text.split(), None]
+        full = lm.features(np.array([hashes[w] for w in words], np.uint64), np.arange(len(words)))
+        total = 0.0
+        for k, w in enumerate(words):
+            klass, bucket = spot[w]
+            first, second = lm.rows_of([x[k : k + 1] for x in full], np.array([klass]), log2)
+            for table_of, rows, truth in ((weights[0], first, klass), (weights[1], second, bucket)):
+                z = np.exp(sum(table_of[int(r[0])].astype(float) for r in rows))
+                total += math.log10(z[truth] / z.sum())
+            same = [train[x] for x in train if spot[x] == spot[w]]
+            total += math.log10((train[w] + 0.5) / (sum(same) + 0.5 * (len(same) + 1)))
+        assert math.isclose(got[i], total, rel_tol=1e-3)
 
 
 def test_near_duplicates(spark, docs, empty):
