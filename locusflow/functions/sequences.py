@@ -23,6 +23,32 @@ def end_of(seq: Column, offset: Column | int = 0) -> Column:
     return F.length(seq) + offset
 
 
+def set_error(qual: Column, position: Column, error: Column, offset: Column | int = 0) -> Column:
+    """Scores with the one of an error probability at an absolute position."""
+    from .quality import phred_of
+
+    return F.transform(qual, lambda q, i: F.when(i == position - offset, phred_of(error)).otherwise(q))
+
+
+def repeated(letter: Column, n: Column | int) -> Column:
+    return F.repeat(letter, n if isinstance(n, Column) else F.lit(n))
+
+
+def reverse_with(seq: Column, qual: Column | None = None) -> Column:
+    """struct(seq, qual, strand) of the reversed letters and scores, which have no strand."""
+    return F.struct(F.reverse(seq).alias("seq"), (F.reverse(qual) if qual is not None else F.lit(None).cast("array<smallint>")).alias("qual"), F.lit(0).cast("tinyint").alias("strand"))
+
+
+def revcomp_with(seq: Column, qual: Column, strand: Column, alphabet: str = "DNA") -> Column:
+    """struct(seq, qual, strand) of the other strand."""
+    return F.struct(revcomp(seq, alphabet).alias("seq"), F.reverse(qual).alias("qual"), (-strand).cast("tinyint").alias("strand"))
+
+
+def limited(text: Column, most: int) -> Column:
+    """Up to `most` characters of a text."""
+    return F.left(text, F.lit(most))
+
+
 def append(seq: Column, more: Column) -> Column:
     return F.concat(seq, more)
 
@@ -83,16 +109,24 @@ def _counts(seq: Column, alphabet: str) -> list[Column]:
     return [(F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double") for c in ALPHABETS[alphabet].letters]
 
 
+def _with_counts(seq: Column, alphabet: str, use) -> Column:
+    """use(counts, their sum), with the sequence evaluated once and each letter counted once."""
+    k = len(ALPHABETS[alphabet].letters)
+    counted = F.transform(F.array(seq), lambda s: F.array(*_counts(s, alphabet)))
+    return F.get(F.transform(counted, lambda c: use([F.get(c, F.lit(i)) for i in range(k)], F.aggregate(c, F.lit(0.0), lambda a, x: a + x))), F.lit(0))
+
+
 def entropic_complexity(seq: Column, alphabet: str = "DNA") -> Column:
     """Minus the sum of n/N log_k n/N over letters; 0 for none."""
     import math
 
-    counts = _counts(seq, alphabet)
-    n = sum(counts[1:], counts[0])
-    total = F.lit(0.0)
-    for c in counts:
-        total = total - F.when(c > 0, c / n * F.log(c / n) / math.log(len(counts))).otherwise(0.0)
-    return F.when(n > 0, total).otherwise(0.0)
+    def use(counts: list[Column], n: Column) -> Column:
+        total = F.lit(0.0)
+        for c in counts:
+            total = total - F.when(c > 0, c / n * F.log(c / n) / math.log(len(counts))).otherwise(0.0)
+        return F.when(n > 0, total).otherwise(0.0)
+
+    return _with_counts(seq, alphabet, use)
 
 
 def _ln_factorial(n: Column) -> Column:
@@ -106,12 +140,13 @@ def wf_complexity(seq: Column, alphabet: str = "DNA") -> Column:
     """1/N log_k of the number of sequences with the same composition."""
     import math
 
-    counts = _counts(seq, alphabet)
-    n = sum(counts[1:], counts[0])
-    total = _ln_factorial(n)
-    for c in counts:
-        total = total - _ln_factorial(c)
-    return F.when(n > 0, total / math.log(len(counts)) / n).otherwise(0.0)
+    def use(counts: list[Column], n: Column) -> Column:
+        total = _ln_factorial(n)
+        for c in counts:
+            total = total - _ln_factorial(c)
+        return F.when(n > 0, total / math.log(len(counts)) / n).otherwise(0.0)
+
+    return _with_counts(seq, alphabet, use)
 
 
 def z_complexity(seq: Column) -> Column:

@@ -21,13 +21,38 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_size: int, contained: bool = Fa
     return (met.where("a_start >= b_start and a_end <= b_end") if contained else met).select("a_id", "b_id", "loc", "a_start", "a_end", "b_start", "b_end")
 
 
-def islands(features: DataFrame, by: list[str], gap: int = 0) -> DataFrame:
-    """(by, island, start, end, n): overlapping or touching rows, or those up to `gap` apart."""
+def _merged(rows: DataFrame, by: list[str], gap: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("start", "end")
     upto = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = features.withColumn("_o", (upto.isNull() | (F.col("start") > upto + gap)).cast("int"))
+    opened = rows.withColumn("_o", (upto.isNull() | (F.col("start") > upto + gap)).cast("int"))
     marked = opened.withColumn("island", F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+    return marked.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+
+
+def islands(features: DataFrame, by: list[str], gap: int = 0, bin_size: int = 1024) -> DataFrame:
+    """(by, island, start, end, n): overlapping or touching rows, or those up to `gap` apart.
+
+    Rows are merged within bins of their start first, so a location with most of the rows is many
+    tasks'; what is left, an island or more a bin, is merged by location."""
+    rows = features.select(*by, "start", "end", F.floor(F.col("start") / bin_size).alias("_bin"), F.lit(1).cast("long").alias("n"))
+    return _merged(_merged(rows, [*by, "_bin"], gap).select(*by, "start", "end", "n"), by, gap)
+
+
+def coverage(features: DataFrame, by: list[str]) -> DataFrame:
+    """(by, total, covered): summed lengths, and places that at least one row covers."""
+    rows = features.where("end > start")
+    total = rows.groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).alias("total"))
+    return total.join(islands(rows, by).groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).alias("covered")), by)
+
+
+def nearest_before(queries: DataFrame, features: DataFrame) -> DataFrame:
+    """queries (id, loc, start) with the id and start of the last feature of the location that starts at
+    or before them (of several the one with the largest id), or nulls: an as-of join."""
+    q = queries.select("loc", "start", F.lit(1).alias("side"), F.col("id").alias("query"), F.lit(None).cast("struct<id:bigint,start:bigint>").alias("f"))
+    f = features.select("loc", "start", F.lit(0).alias("side"), F.lit(None).cast("long").alias("query"), F.struct(F.col("id").cast("long").alias("id"), F.col("start").cast("long").alias("start")).alias("f"))
+    w = Window.partitionBy("loc").orderBy("start", "side", "f.id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = q.unionByName(f).withColumn("last", F.last("f", ignorenulls=True).over(w)).where("side = 1")
+    return found.select(F.col("query").alias("id"), "loc", "start", F.col("last.id").alias("near_id"), F.col("last.start").alias("near_start"))
 
 
 def introns(exons: DataFrame, transcript: str = "transcript_id") -> DataFrame:
@@ -50,21 +75,52 @@ def untranslated(transcripts: DataFrame) -> DataFrame:
     return transcripts.withColumn("utr5", F.when(forward, first).when(F.col("orient") == -1, last)).withColumn("utr3", F.when(forward, last).when(F.col("orient") == -1, first))
 
 
+def _resolved(features: DataFrame, most: int) -> DataFrame:
+    """(id, at, next, total, turn, error) of rows (id, start, orient, parent_id) followed to their roots:
+    each round adds what lies between `at` and its own `at`, so a chain of n links takes log n joins."""
+    rows = features.select("id", F.col("id").alias("at"), F.col("parent_id").alias("next"), F.col("start").cast("long").alias("total"), F.coalesce(F.col("orient").cast("int"), F.lit(0)).alias("turn"), F.lit(1).alias("links"), F.lit(None).cast("string").alias("error"))
+    while True:
+        if rows.where("next is not null and error is null").isEmpty():
+            return rows
+        up = rows.select(F.col("id").alias("_i"), *[F.col(c).alias(f"_{c}") for c in ("at", "next", "total", "turn", "links", "error")])
+        met = rows.join(up, (F.col("next") == F.col("_i")) & F.col("error").isNull(), "left")
+        links = F.col("links") + F.coalesce("_links", F.lit(0))
+        bad = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("next").isNotNull() & F.col("_i").isNull(), "no such parent").when(links > most, "too many links").otherwise(F.col("_error"))
+        # a parent without orientation ends the product, one without own orientation has none
+        turn = F.when(F.col("_turn").isNull() | (F.col("turn") == 0) | (F.col("_turn") == 0), F.col("turn")).otherwise(F.col("turn") * F.col("_turn"))
+        rows = met.select("id", F.coalesce("_at", "at").alias("at"), F.when(bad.isNull(), F.col("_next")).alias("next"), (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total"), turn.alias("turn"), links.alias("links"), bad.alias("error")).persist()
+
+
 def base_positions(features: DataFrame, most: int = 1000) -> DataFrame:
-    """(id, base_id, base_start, base_orient) of rows (id, start, orient, parent_id): starts added
-    and orientations multiplied up to the root, by a recursive query. A parent without orientation
-    ends the product. More than `most` links are an error of Spark's recursion limit."""
-    spark = features.sparkSession
-    name = f"features_{id(features)}"
-    features.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, at, parent_id, total, turn, done, depth) AS (
-            SELECT id, id, parent_id, CAST(start AS BIGINT), CAST(orient AS INT), orient = 0, 0 FROM {name}
-            UNION ALL
-            SELECT u.id, f.id, f.parent_id, u.total + f.start,
-                   CASE WHEN u.done OR f.orient = 0 THEN u.turn ELSE u.turn * f.orient END, u.done OR f.orient = 0, u.depth + 1
-            FROM up u JOIN {name} f ON f.id = u.parent_id WHERE u.depth < {most})
-        SELECT id, at AS base_id, total AS base_start, turn AS base_orient FROM up WHERE parent_id IS NULL""")
+    """(id, base_id, base_start, base_orient, error) of rows (id, start, orient, parent_id): starts added
+    and orientations multiplied up to the root, by pointer doubling. A parent without orientation
+    ends the product. A missing parent and more than `most` links (as in a circle) are errors, with
+    nulls for the rest."""
+    found = _resolved(features, most)
+    ok = F.col("error").isNull()
+    return found.select("id", *[F.when(ok, F.col(c)).alias(n) for c, n in (("at", "base_id"), ("total", "base_start"), ("turn", "base_orient"))], "error")
+
+
+def positions_within(features: DataFrame, reference, most: int = 1000) -> DataFrame:
+    """(id, start_within, orient_within) of the rows below a feature `reference`, itself included: starts
+    added and orientations multiplied up to it, but not its own; one without orientation on the way
+    makes it 0. Rows that aren't below it don't come."""
+    cut = features.withColumn("parent_id", F.when(F.col("id") == reference, None).otherwise(F.col("parent_id")))
+    cut = cut.withColumns({"start": F.when(F.col("id") == reference, 0).otherwise(F.col("start")), "orient": F.when(F.col("id") == reference, 1).otherwise(F.col("orient"))})
+    marked = cut.withColumn("orient", F.when(F.coalesce("orient", F.lit(0)) == 0, F.lit(2)).otherwise(F.col("orient")))  # 2: none; products of it are even
+    found = _resolved(marked, most).where((F.col("at") == reference) & F.col("error").isNull())
+    return found.select("id", F.col("total").alias("start_within"), F.when(F.col("turn") % 2 == 0, 0).otherwise(F.col("turn")).alias("orient_within"))
+
+
+def coding(transcripts: DataFrame) -> DataFrame:
+    """untranslated() with the coding range, and the lengths of the three parts."""
+    parts = untranslated(transcripts).withColumn("cds", F.struct(F.col("cds_start").alias("start"), F.col("cds_end").alias("end")))
+    return parts.withColumns({f"{c}_length": F.col(f"{c}.end") - F.col(f"{c}.start") for c in ("utr5", "cds", "utr3")})
+
+
+def of_kind(features: DataFrame, kinds: tuple[str, ...] = ("coding", "noncoding"), kind: str = "kind") -> DataFrame:
+    """The features of some kinds, such as the transcripts of a gene."""
+    return features.where(F.col(kind).isin(*kinds))
 
 
 def unordered_pairs(pairs: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:

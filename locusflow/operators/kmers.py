@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabets import complement
 
 
-def kmers(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq", letters: str = "acgt") -> DataFrame:
-    """(id, pos, kmer) of all windows without invalid letters; k-mers in lower case, k in 4..16."""
+def _check(k: int) -> None:
     if not 4 <= k <= 16:
         raise ValueError("k must be in 4..16")
-    low = F.lower(F.col(seq_col))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - k + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(k)))
+
+
+def kmers(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq", letters: str = "acgt") -> DataFrame:
+    """(id, pos, kmer) of all windows without invalid letters; k-mers in lower case, k in 4..16. A
+    look-ahead gives the windows in one pass; a substring for each place would be quadratic."""
+    _check(k)
+    windows = F.regexp_extract_all(F.lower(F.col(seq_col)), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
     out = seqs.select(F.col(id_col).alias("id"), F.posexplode(windows).alias("pos", "kmer"))
     return out.where(F.col("kmer").rlike(f"^[{letters}]{{{k}}}$"))
 
 
+def kmer_words(seqs: DataFrame, k: int, seq_col: str = "seq", letters: str = "acgt") -> DataFrame:
+    """(kmer) of all valid windows, without ids and places."""
+    _check(k)
+    return seqs.select(F.explode(F.regexp_extract_all(F.lower(F.col(seq_col)), F.lit(f"(?=([{letters}]{{{k}}}))"), F.lit(1))).alias("kmer"))
+
+
+def each_kmer(seqs: DataFrame, k: int, value: Callable[[Column], Column], **kw) -> DataFrame:
+    """(id, pos, kmer, value) with a function of the k-mer's column."""
+    return kmers(seqs, k, **kw).withColumn("value", value(F.col("kmer")))
+
+
+def positions(seqs: DataFrame, kmer: str, **kw) -> DataFrame:
+    """(id, pos) of one k-mer."""
+    return kmers(seqs, len(kmer), **kw).where(F.col("kmer") == kmer.lower()).select("id", "pos")
+
+
 def encode(kmer: Column) -> Column:
     """Two bits a base, as a long."""
     return F.aggregate(F.split(F.lower(kmer), ""), F.lit(0).cast("long"), lambda a, c: a * 4 + F.instr(F.lit("acgt"), c) - 1)
@@ -41,10 +63,11 @@ def index(seqs: DataFrame, k: int, **kw) -> DataFrame:
     return kmers(seqs, k, **kw).groupBy("kmer").agg(F.array_sort(F.collect_list(F.struct("id", "pos"))).alias("positions"))
 
 
-def frequencies(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
-    """(id, kmer, n, share): the share is of the sequence's length, not of its windows."""
-    sizes = seqs.select(F.col(id_col).alias("id"), F.length(seq_col).alias("len"))
-    return kmers(seqs, k, id_col, seq_col).groupBy("id", "kmer").agg(F.count("*").alias("n")).join(sizes, "id").select("id", "kmer", "n", (F.col("n") / F.col("len")).alias("share"))
+def frequencies(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq", per_window: bool = False) -> DataFrame:
+    """(id, kmer, n, share): the share is of the sequence's length, or with per_window of its windows."""
+    of = F.length(seq_col) - (k - 1 if per_window else 0)
+    sizes = seqs.select(F.col(id_col).alias("id"), of.alias("of"))
+    return kmers(seqs, k, id_col, seq_col).groupBy("id", "kmer").agg(F.count("*").alias("n")).join(sizes, "id").select("id", "kmer", "n", (F.col("n") / F.col("of")).alias("share"))
 
 
 def distance(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -67,23 +90,35 @@ def debruijn(letters: str, order: int) -> str:
             out += word
 
 
-def seed_filter(target: DataFrame, query: DataFrame, target_length: int, k: int, min_match: int, max_error: int, tube_offset: int, self_align: bool = False) -> DataFrame:
-    """Hits (from, to, diagonal) of tubes with enough shared k-mers; inputs are (pos, kmer).
+def seed_filter(target: DataFrame, query: DataFrame, target_length: int | None, k: int, min_match: int, max_error: int, tube_offset: int, self_align: bool = False, complement_strand: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Hits (by, from, to, diagonal) of tubes with enough shared k-mers; inputs are (pos, kmer) and by.
 
     A join on k-mers gives seeds; each goes to its tube, and near a border to the one before; in a
-    tube, seeds more than min_match - k apart are of different hits."""
+    tube, seeds more than min_match - k apart are of different hits. by: columns of the query's
+    (such as ids and a strand) that tell pairs apart; target_length None: a column of the target.
+    self_align keeps the half above the diagonal: q > t, or on the complement strand
+    q >= target_length - t."""
     from pyspark.sql import Window
 
-    seeds = target.select("kmer", F.col("pos").alias("t")).join(query.select("kmer", F.col("pos").alias("q")), "kmer")
+    own = [c for c in by if c in query.columns]
+    other = [c for c in by if c not in query.columns]
+    length = F.col("target_length") if target_length is None else F.lit(target_length)
+    t = target.select("kmer", F.col("pos").alias("t"), *other, *(["target_length"] if target_length is None else []))
+    seeds = t.join(query.select("kmer", F.col("pos").alias("q"), *own), "kmer")
     if self_align:
-        seeds = seeds.where("q > t")
-    d = F.lit(target_length) - F.col("t") + F.col("q")
+        seeds = seeds.where(F.col("q") >= length - F.col("t") if complement_strand else F.col("q") > F.col("t"))
+    d = length - F.col("t") + F.col("q")
     tube = F.floor(d / tube_offset).cast("long")
     tubes = F.when(d % tube_offset < max_error, F.array(tube, tube - 1)).otherwise(F.array(tube))
-    rows = seeds.select("q", F.explode(tubes).alias("tube"))
-    w = Window.partitionBy("tube").orderBy("q")
+    rows = seeds.select(*by, length.alias("length"), "q", F.explode(tubes).alias("tube"))
+    w = Window.partitionBy(*by, "tube").orderBy("q")
     opens = F.coalesce(F.col("q") - F.lag("q").over(w) > min_match - k, F.lit(True)).cast("int")
     runs = rows.withColumn("run", opens)
     runs = runs.withColumn("run", F.sum("run").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    hits = runs.groupBy("tube", "run").agg(F.min("q").alias("from"), (F.max("q") + k).alias("to"), F.count("*").alias("n"))
-    return hits.where(F.col("n") >= min_match + 1 - k * (max_error + 1)).select("from", "to", (F.lit(target_length) - F.col("tube") * tube_offset).alias("diagonal"))
+    hits = runs.groupBy(*by, "tube", "run").agg(F.min("q").alias("from"), (F.max("q") + k).alias("to"), F.count("*").alias("n"), F.first("length").alias("length"))
+    return hits.where(F.col("n") >= min_words(k, min_match, max_error)).select(*by, "from", "to", (F.col("length") - F.col("tube") * tube_offset).alias("diagonal"))
+
+
+def min_words(k: int, min_match: int, max_error: int) -> int:
+    """Words that a match of min_match letters with up to max_error errors must share."""
+    return min_match + 1 - k * (max_error + 1)

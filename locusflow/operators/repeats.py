@@ -7,7 +7,7 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values of the method: bins and the least padding of a packed sequence, longest and shortest
@@ -122,6 +122,57 @@ def filter_parameters(target_length: int, least_length: int, least_identity: flo
     raise ValueError("no parameters for this length and identity")
 
 
+def best_hits(hits: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Hits (by, a_start, b_start, a_end, b_end, score) that are the best of their start point, and of
+    those the best of their end point; of equal scores the first by `order` stays."""
+    for ends in (("a_start", "b_start"), ("a_end", "b_end")):
+        w = Window.partitionBy(*by, *ends).orderBy(F.desc("score"), *order)
+        hits = hits.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    return hits
+
+
+def clipped(trapezoids: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
+    """Trapezoids (by, bottom, top, left, right) cut at runs of invalid letters of the query (by, start,
+    end), as many parts as are left. Runs of one sequence don't overlap."""
+    own = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))
+    inner = F.filter("_runs", lambda r: (r["end"] > F.col("bottom")) & (r["start"] < F.col("top")))
+    met = trapezoids.join(own, by, "left").withColumn("_in", F.coalesce(inner, F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    lows = F.concat(F.array(F.col("bottom")), F.transform("_in", lambda r: r["end"].cast("long")))
+    highs = F.concat(F.transform("_in", lambda r: r["start"].cast("long")), F.array(F.col("top")))
+    parts = F.filter(F.arrays_zip(lows.alias("a"), highs.alias("b")), lambda p: p["b"] > p["a"])
+    return met.select(*by, "left", "right", F.explode(parts).alias("_p")).select(*by, F.col("_p.a").alias("bottom"), F.col("_p.b").alias("top"), "left", "right")
+
+
+def mates(pairs: DataFrame) -> DataFrame:
+    """Both images of each pair (pair, a_loc, a_start, a_end, b_loc, b_start, b_end, score, strand):
+    (pair, side, loc, start, end, mate_loc, mate_start, mate_end, score, strand)."""
+    sides = [("a", "b"), ("b", "a")]
+    out = [pairs.select("pair", F.lit(x).alias("side"), *[F.col(f"{x}_{c}").alias(c) for c in ("loc", "start", "end")], *[F.col(f"{y}_{c}").alias(f"mate_{c}") for c in ("loc", "start", "end")], "score", "strand") for x, y in sides]
+    return out[0].unionByName(out[1])
+
+
+def inverted(pairs: DataFrame) -> DataFrame:
+    """Pairs with their sides exchanged."""
+    other = {"a": "b", "b": "a"}
+    return pairs.select(*[F.col(f"{other[c[0]]}{c[1:]}" if c[:2] in ("a_", "b_") else c).alias(c) for c in pairs.columns])
+
+
+def pair_lines() -> Column:
+    """The GFF line of a pair: the image b, with the one-based image a as its Target and the error."""
+    score = F.format_string("%.4f", F.col("score").cast("double"))
+    target = F.concat_ws(" ", F.lit("Target"), "a_loc", (F.col("a_start") + 1).cast("string"), F.col("a_end").cast("string"))
+    strand = F.when(F.col("strand") > 0, "+").when(F.col("strand") < 0, "-").otherwise(".")
+    return F.concat_ws("\t", "b_loc", F.lit("pals"), F.lit("hit"), (F.col("b_start") + 1).cast("string"), F.col("b_end").cast("string"), score, strand, F.lit("."), F.concat(target, F.lit("; maxe "), F.regexp_replace(F.format_string("%.2f", F.col("error")), r"\.?0+$", "")))
+
+
+def expanded(lines: DataFrame) -> DataFrame:
+    """Pairs from read_gff() rows with a Target; those without have an error."""
+    value = lambda tag: F.get(F.filter("attributes", lambda a: a["tag"] == tag), F.lit(0))["value"]
+    parts = F.split(value("Target"), r"\s+")
+    bad = F.when(value("Target").isNull() | (F.size(parts) != 3) | F.get(parts, F.lit(1)).try_cast("long").isNull() | F.get(parts, F.lit(2)).try_cast("long").isNull() | value("maxe").try_cast("double").isNull(), "not a feature pair")
+    return lines.select(F.col("seqname").alias("b_loc"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.get(parts, F.lit(0)).alias("a_loc"), (F.get(parts, F.lit(1)).try_cast("long") - 1).alias("a_start"), F.get(parts, F.lit(2)).try_cast("long").alias("a_end"), F.col("score").cast("long").alias("score"), value("maxe").try_cast("double").alias("error"), "strand", bad.alias("error_text"))
+
+
 def piles(images: DataFrame, by: list[str], overlap: int = 0) -> DataFrame:
     """(by, pile, start, end, n) of intervals that share at least `overlap` places with what is piled
     up before them, from left to right; at 0, touching ones share a pile."""
@@ -130,3 +181,11 @@ def piles(images: DataFrame, by: list[str], overlap: int = 0) -> DataFrame:
     opens = (upto.isNull() | (F.col("start") > upto - overlap)).cast("int")
     marked = images.withColumn("_o", opens).withColumn("pile", F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return marked.groupBy(*by, "pile").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+
+
+def pile_members(images: DataFrame, by: list[str], overlap: int = 0, keep: Column | None = None) -> DataFrame:
+    """images with pile_start and pile_end; keep: a condition on images, which is asked after piling, so
+    piles don't shrink when it leaves some out."""
+    piled = piles(images, by, overlap).select(*by, F.col("start").alias("pile_start"), F.col("end").alias("pile_end"))
+    met = images.join(piled, by).where("start >= pile_start and end <= pile_end")
+    return met.where(keep) if keep is not None else met

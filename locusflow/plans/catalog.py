@@ -56,12 +56,12 @@ def fasta_wrap(spark, sf_dir):
 
 
 def stitch(spark, sf_dir):
-    f = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((28, 37), (1, 8), (5, 12), (49, 1000))])
+    f = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((28, 37), (1, 8), (5, 12))], F.struct(F.lit(49).alias("start"), F.greatest(F.length("seq") - 1, F.lit(49)).alias("end")))
     return _seqs(spark, sf_dir).select("id", F.md5(S.stitch(F.col("seq"), f)).alias("digest"))
 
 
 def compose(spark, sf_dir):
-    f = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(o).alias("orient")) for a, b, o in ((0, 32, 1), (1, 8, -1), (28, 1000, 1))])
+    f = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(o).alias("orient")) for a, b, o in ((0, 32, 1), (1, 8, -1))], F.struct(F.lit(28).alias("start"), F.greatest(F.length("seq") - 1, F.lit(28)).alias("end"), F.lit(1).alias("orient")))
     return _seqs(spark, sf_dir).select("id", F.md5(S.compose(F.col("seq"), f)).alias("digest"))
 
 
@@ -85,7 +85,7 @@ def trimmed_reads(spark, sf_dir):
 
 
 def kmer_histogram(spark, sf_dir):
-    return K.kmers(_seqs(spark, sf_dir), 8).groupBy("kmer").agg(F.count("*").alias("n"))
+    return K.kmer_words(_seqs(spark, sf_dir), 8).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def kmer_codes(spark, sf_dir):
@@ -98,7 +98,7 @@ def kmer_distance(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("lang", _dna(F.col("text")).alias("seq"), F.col("doc_id").alias("id"))
 
     def share(lang):
-        own = K.kmers(docs.where(F.col("lang") == lang), 6).groupBy("kmer").agg(F.count("*").alias("n"))
+        own = K.kmer_words(docs.where(F.col("lang") == lang), 6).groupBy("kmer").agg(F.count("*").alias("n"))
         return own.crossJoin(F.broadcast(own.agg(F.sum("n").alias("of")))).select("kmer", (F.col("n") / F.col("of")).alias("share"))
 
     return K.distance(share("en"), share("de")).select(F.round("distance", 9).alias("distance"))
@@ -187,8 +187,8 @@ SQL = {
     "revcomp": _SEQS + f"SELECT id, md5(reverse({_COMP.format('seq')})) AS digest, length(seq)::BIGINT AS len FROM s",
     "validate": r"WITH t AS (SELECT doc_id AS id, regexp_replace(coalesce(text, ''), '\s', '', 'g') AS x FROM documents), v AS (SELECT id, x, length(regexp_extract(x, '^[-a-npqrstvwxyzA-NPQRSTVWXYZ*]*')) AS n FROM t) SELECT id, CASE WHEN n = length(x) THEN -1 ELSE n END::BIGINT AS first_invalid FROM v",
     "fasta_wrap": _SEQS + r"SELECT id, md5(rtrim(regexp_replace(seq, '(.{60})', '\1' || chr(10), 'g'), chr(10))) AS digest FROM s",
-    "stitch": _SEQS + f"SELECT id, md5({_p(1, 12)} || {_p(28, 37)} || {_p(49, 1000)}) AS digest FROM s",
-    "compose": _SEQS + f"SELECT id, md5({_p(0, 32)} || reverse({_COMP.format(_p(1, 8))}) || {_p(28, 1000)}) AS digest FROM s",
+    "stitch": _SEQS + f"SELECT id, md5({_p(1, 12)} || {_p(28, 37)} || {_p(49, 'length(seq) - 1')}) AS digest FROM s",
+    "compose": _SEQS + f"SELECT id, md5({_p(0, 32)} || reverse({_COMP.format(_p(1, 8))}) || {_p(28, 'length(seq) - 1')}) AS digest FROM s",
     "truncate_circular": _SEQS + "SELECT id, md5(CASE WHEN length(seq) >= 12 THEN substr(seq, 13) || substr(seq, 1, 5) END) AS digest FROM s",
     "complexity": _SEQS + ", c AS (SELECT id, length(seq) AS n, unnest(['a', 'c', 'g', 't']) AS l, seq FROM s), d AS (SELECT id, n, length(seq) - length(replace(seq, l, '')) AS k FROM c) SELECT id, round(coalesce(sum(CASE WHEN k > 0 THEN -(k / n) * ln(k / n) / ln(4) ELSE 0 END), 0), 9) AS entropic FROM d GROUP BY id",
     "phred": "SELECT CASE WHEN l_discount <= 0 THEN 254 ELSE least(254, floor(-10 * log10(l_discount) + 0.5)) END::BIGINT AS q, count(*) AS n FROM lineitem GROUP BY 1",

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from locusflow.plans import catalog
+from locusflow.plans import further as catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark conversations".split()
