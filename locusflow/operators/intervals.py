@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def overlap_join(a: DataFrame, b: DataFrame, bin_size: int, contained: bool = False) -> DataFrame:
     """Pairs (a_id, b_id) of overlapping rows of (id, loc, start, end), or of rows of a within rows
@@ -88,7 +90,7 @@ def _resolved(features: DataFrame, most: int) -> DataFrame:
         bad = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("next").isNotNull() & F.col("_i").isNull(), "no such parent").when(links > most, "too many links").otherwise(F.col("_error"))
         # a parent without orientation ends the product, one without own orientation has none
         turn = F.when(F.col("_turn").isNull() | (F.col("turn") == 0) | (F.col("_turn") == 0), F.col("turn")).otherwise(F.col("turn") * F.col("_turn"))
-        rows = met.select("id", F.coalesce("_at", "at").alias("at"), F.when(bad.isNull(), F.col("_next")).alias("next"), (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total"), turn.alias("turn"), links.alias("links"), bad.alias("error")).persist()
+        rows = cut(met.select("id", F.coalesce("_at", "at").alias("at"), F.when(bad.isNull(), F.col("_next")).alias("next"), (F.col("total") + F.coalesce("_total", F.lit(0))).alias("total"), turn.alias("turn"), links.alias("links"), bad.alias("error")))
 
 
 def base_positions(features: DataFrame, most: int = 1000) -> DataFrame:

@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _marked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with its watermark, which needs a timestamp with time zone; a table as it is."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def session_counts(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(key, start, end, n) of sessions; works on streams and on tables."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _marked(events, time, late)
     return rows.groupBy(F.col(key), F.session_window(time, gap).alias("w")).count().select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("count").alias("n"))
 
 
 def window_counts(events: DataFrame, time: str, key: str, size: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _marked(events, time, late)
     return rows.groupBy(F.col(key), F.window(time, size).alias("w")).count().select(key, F.col("w.start").alias("start"), F.col("count").alias("n"))
 
 
 def first_events(events: DataFrame, time: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     """One event for each value of keys; on a stream, within the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    return _marked(events, time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def stream_bed(spark: SparkSession, folder: str, columns: int = 12) -> DataFrame:
