@@ -18,6 +18,8 @@ from .common import KINDS_OF_BYTES, hash_words, in_slices, lean, lower_bytes, ma
 
 #: Expected number of labelled rows to fit on; rows are taken by a hash of their id.
 LABELLED = 12_000
+FITTED_BYTES = 256 << 20  # most bytes of features to fit on; with long texts fewer labelled rows are taken
+#: Rounds, most pseudo-labels that a view gives for a class in a round, and how sure it must be.
 ROUNDS, PSEUDO, SURE = 2, 200, 0.95
 WORDS_LOG2, DENSE = 16, 10
 META = 1 << 12
@@ -27,7 +29,7 @@ LEAST_ROWS = 5  # word buckets in fewer labelled rows are left out
 
 
 def text_features(texts: pa.Array):
-    """For each text: word buckets (uint16, rising), their counts (uint8), and DENSE shares."""
+    """For each text: word buckets (uint16, rising), their counts (uint32), and DENSE shares."""
     raw, offsets = texts_of(texts)
     data, where, counts = words_of(raw, offsets)
     hashes = hash_words(lower_bytes(data), where)
@@ -63,7 +65,7 @@ def text_features(texts: pa.Array):
         ],
         axis=1,
     ).astype(np.float32)
-    return (key & ((1 << WORDS_LOG2) - 1)).astype(np.uint16), np.minimum(times, 255).astype(np.uint8), cuts, dense
+    return (key & ((1 << WORDS_LOG2) - 1)).astype(np.uint16), times.astype(np.uint32), cuts, dense
 
 
 def _sigmoid(x):
@@ -157,7 +159,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def _rows(found) -> tuple[list, list]:
-    text = [_text_row(np.frombuffer(r["words"], np.uint16), np.frombuffer(r["times"], np.uint8), np.frombuffer(r["dense"], np.float32)) for r in found]
+    text = [_text_row(np.frombuffer(r["words"], np.uint16), np.frombuffer(r["times"], np.uint32), np.frombuffer(r["dense"], np.float32)) for r in found]
     return text, [(np.array(r["meta"], np.int64), np.ones(len(r["meta"]))) for r in found]
 
 
@@ -172,7 +174,11 @@ def co_train(table: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled
     n = labels.count()
     share = min(1.0, labelled / max(1, n))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labels
-    found = table.join(F.broadcast(chosen), "doc_id").collect()  # about `labelled` rows, whatever the input
+    known = table.join(F.broadcast(chosen), "doc_id")
+    size = known.agg(F.sum(F.length("words") + F.length("times"))).first()[0] or 0
+    if size > FITTED_BYTES:
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(FITTED_BYTES / size * (1 << 20)))
+    found = known.collect()  # about `labelled` rows and FITTED_BYTES, whatever the input
     found.sort(key=lambda r: r["doc_id"])
     text, meta = _rows(found)
     y = np.array([r["good"] for r in found], float)
@@ -232,7 +238,9 @@ def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False, rej
     labels: (doc_id, quality[, toxic]); good is quality 1 and, if there, toxic 0. Rows whose label
     is null or that label no document take no part, of several labels the lowest counts. Without
     usable labels all documents are accepted with probability 0.5. A null text has no words; a null
-    doc_id is scored like any other. Columns named like the results are replaced."""
+    doc_id is scored like any other; rows that repeat are each scored. Columns named like the results
+    are replaced, others pass through, whatever their names. Views are fitted on about LABELLED labelled
+    rows and FITTED_BYTES of features, and up to 4 * ROUNDS * PSEUDO pseudo-labels, whatever the input."""
     good = F.col("quality").cast("int") == 1
     if "toxic" in labels.columns:
         good = good & (F.coalesce(F.col("toxic").cast("int"), F.lit(0)) == 0)
@@ -274,4 +282,6 @@ def classify(docs: DataFrame, labels: DataFrame, keep_columns: bool = False, rej
     from pyspark.sql.types import StructType
 
     schema = StructType(mine.schema.fields + StructType.fromDDL(result).fields)
-    return mine.select("*", F.col("text").cast("string").alias("_text"), *_meta_columns(mine)).mapInArrow(whole, schema)
+    # positions, not names, tell the last two from columns of any name
+    made = mine.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("text"), *_meta_columns(mine))
+    return made.mapInArrow(whole, schema)
