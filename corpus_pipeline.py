@@ -2,7 +2,9 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. run()
 writes each stage's result to the shared folder as Parquet, and the next stage gets it reread. All
-stages but the last return the columns of `documents`. A stage first deletes those scratch tables
+stages but the last return the columns of `documents`, in their order, and pass further columns through, whatever
+their names. In every stage a null text is an empty one, an empty table stays empty, rows that repeat are
+each decided alike, and a null doc_id is a document that nothing else is compared with. A stage first deletes those scratch tables
 of earlier ones that no DataFrame refers to any more.
 """
 
@@ -15,7 +17,8 @@ from locusflow.llm.common import materialise, sweep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the co-trained quality classifier accepts."""
+    """Keep what the co-trained quality classifier accepts. Without usable labels all stays; nulls in the
+    metadata count as values."""
     from locusflow.llm.quality import classify
 
     sweep(collect=True)
@@ -24,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that a smaller doc_id holds too; documents that this empties go."""
+    """Drop lines that a smaller doc_id holds too; documents that this empties go, those that were empty
+    stay. n_chars changes where lines go. A null doc_id keeps its lines."""
     from locusflow.llm.lines import dedup_lines
 
     sweep(collect=True)
@@ -36,7 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, stays of each group of near copies (five-word shingles)."""
+    """One document, the smallest doc_id, stays of each group of near copies (five-word shingles, a
+    similarity of 0.8). Documents without words, and rows of one doc_id, stay."""
     from locusflow.llm.neardup import components
 
     sweep(collect=True)
@@ -45,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item, re-parameterised or not, go."""
+    """Documents with a benchmark item, re-parameterised or not, go. A null doc_id stays."""
     from locusflow.llm.decontaminate import leaks
 
     sweep(collect=True)
@@ -54,7 +59,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what stays, with digests of the ids and of the decoded text."""
+    """A row for each document that stays: digests of its token ids and of the decoded text."""
     from locusflow.llm.bpe import round_trip
     from locusflow.llm.queries import tokenizer_path
 
