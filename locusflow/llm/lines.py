@@ -45,4 +45,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     n = F.size(lines)
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))
     kept = F.when(F.col("gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
-    return joined.select(*[F.col(f"row.`{c}`") for c in mine.columns], n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    made = F.struct(n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    out = joined.select("row", made.alias("made"))  # apart from the next step, where a column may be named `row`
+    return out.select(*[F.col(f"row.`{c}`") for c in mine.columns], "made.n_lines", "made.n_dropped", "made.kept")

@@ -279,11 +279,138 @@ def test_sql(spark):
     assert [tuple(r) for r in got] == con.sql(queries.OP8_SQL + " ORDER BY doc_id").fetchall()
 
 
+def _shingles(text, size):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+
+
 def test_pipeline(spark):
+    """run() against a plain version: all but the accepted documents and the leaks, which come from the
+    operators, is done anew in Python."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    accepted = {r.doc_id for r in quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("accepted").collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id in accepted}
+    key = lambda x: re.sub("[A-Z]+", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for d, t in texts.items():
+        for x in t.split("\n"):
+            holders.setdefault(key(x), set()).add(d)
+    left = {}
+    for d, t in texts.items():
+        kept = [x for x in t.split("\n") if len(key(x)) < 10 or min(holders[key(x)]) == d]
+        if len(kept) == len(t.split("\n")) or "\n".join(kept).strip(" "):
+            left[d] = "\n".join(kept)
+    sets = {d: _shingles(t, 5) for d, t in left.items()}
+    top = {d: d for d in left}
+    for a in sorted(left):
+        for b in sorted(left):
+            if a < b and sets[a] and top[a] != top[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((top[a], top[b]))
+                top = {d: low if c == high else c for d, c in top.items()}
+    left = {d: t for d, t in left.items() if top[d] == d}
+    found = decontaminate.leaks(spark.createDataFrame(list(left.items()), "doc_id long, text string"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    gone = {r.doc_id for r in found.collect()}
+    whole = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert all(d in gone for d, t in left.items() for x in whole if x and x in " ".join(t.lower().split()))
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    want = []
+    for d, t in left.items():
+        if d not in gone:
+            ids = tok.encode(t, add_special_tokens=False).ids
+            want.append((d, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, p.run(spark, sf).collect())) == sorted(want) and len(want) > 50
+
+
+def test_stages_with_odd_rows(spark):
+    """Clashing names, nulls everywhere, repeated rows and empty tables in each stage."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    names = "_text _d row digest kept h key node component meta c0".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(d, t, None, None, None, *names) for d, t in TEXTS] + [(None, None, *[None] * (3 + len(names)))]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        n = docs.count()
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns and out.count() <= n
+            assert all(tuple(r)[5:] in (tuple(names), (None,) * len(names)) for r in out.collect())
+        assert p.STAGES[-1][1](spark, docs, sf).count() == n
+
+
+def test_lazy_results_outlive_other_queries(spark):
+    """Scratch tables stay as long as a result over them is pending."""
     import corpus_pipeline as p
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = p.run(spark, sf)
-    assert got.join(docs, "doc_id", "left_anti").count() == 0 and got.count() == got.select("doc_id").distinct().count() > 0
-    assert F.col("n_tokens") is not None and "n_tokens" in got.columns
+    pending = queries.op8_line_dedup(spark, sf)
+    p.STAGES[0][1](spark, docs, sf).count()
+    assert pending.count() == docs.count()
+
+
+def test_clashing_names(spark):
+    """Columns named like private ones do no harm in any operator."""
+    names = "h key node component a b side block label digest found spans meta words part s x id".split()
+    docs = spark.createDataFrame([(d, t, *names) for d, t in TEXTS], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, LONG, "x", "y")], "item_id long, text string, id string, h string")
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (2, 0, 0, "y")], "doc_id long, quality int, toxic int, good string")
+    n = len(TEXTS)
+    assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == {1, 2}
+    assert [f(docs).count() for f in (lines.dedup_lines, pii.find, secrets.scan, lm.score, neardup.components)] == [n] * 5
+    assert bpe.round_trip(docs, queries.tokenizer_path()).count() == quality.classify(docs, labels).count() == n
+
+
+def test_pii_against_plain_version(spark):
+    """Base spans of whole documents, and the spans that the method adds for planted kinds."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def fits(kind, value):
+        digits = [int(x) for x in value if x.isdigit()]
+        if kind == "ip":
+            return all(int(x) <= 255 for x in value.split("."))
+        if kind == "card":
+            total = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(digits)))
+            return 16 <= len(digits) <= 19 and total % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = [(-i - 1, f"{t} dear Mr. James Miller, ssn 123-45-{6000 + i}, iban DE89 3704 0044 0532 0130 00") for i, (_, t) in enumerate(TEXTS)]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in pii.find(every).collect()}
+    for d, t in [(r.doc_id, r.text or "") for r in every.collect()]:
+        want = [(k, m.start(), m.end()) for k, pattern in patterns.items() for m in re.finditer(pattern, t) if fits(k, m[0])]
+        assert [(s.kind, s.start, s.end) for s in got[d] if s.base] == want
+    added = [sum(s.kind == k for d in got if d is not None and d < 0 for s in got[d]) for k in ("name", "national_id", "iban")]
+    assert max(added) == len(TEXTS) and sum(x > 0 for x in added) >= 2, added
+
+
+def test_pii_of_many_matches(spark):
+    text = " ".join(f"10.0.{i % 256}.{i % 7} mail a{i}@b.com" for i in range(20000))
+    spans = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert len(spans) == 40000 and all(text[s.start : s.end] == s.value for s in spans)
+
+
+def test_near_duplicates_among_boilerplate(spark):
+    """Linked pairs in a crowd with a common body, with results that don't hang on the partitions."""
+    body = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(700):
+        own = [f"o{k}x{i}" for i in range(22)]
+        rows += [(2 * k, " ".join(body + own)), (2 * k + 1, " ".join(body + own[:12] + [f"e{k}x{i}" for i in range(10)]))]
+    sets = {d: _shingles(t, 4) for d, t in rows[:4]}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert like(0, 1) >= 0.8 > like(0, 2)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for parts in ("4", "17"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r.doc_id: r.component_id for r in neardup.components(table, words=4).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == {d: d - d % 2 for d in got}
