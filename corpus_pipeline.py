@@ -16,14 +16,20 @@ from pyspark.sql import functions as F
 from locusflow.llm.common import materialise, sweep
 
 
+def _apart(docs: DataFrame, results: list[str]) -> dict[str, str]:
+    """Other names, while a stage works, for columns of docs that are named like the operator's results."""
+    return {c: f"own {c}" for c in docs.columns if c.lower() in results}
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the co-trained quality classifier accepts. Without usable labels all stays; nulls in the
     metadata count as values."""
     from locusflow.llm.quality import classify
 
     sweep(collect=True)
-    scored = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True)
-    return scored.where("accepted").select(*docs.columns)
+    own = _apart(docs, ["p_text", "p_meta", "p_good", "accepted"])
+    scored = classify(docs.withColumnsRenamed(own), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_columns=True)
+    return scored.where("accepted").select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +38,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from locusflow.llm.lines import dedup_lines
 
     sweep(collect=True)
-    out = dedup_lines(docs)
+    own = _apart(docs, ["n_lines", "n_dropped", "kept"])
+    out = dedup_lines(docs.withColumnsRenamed(own))
     text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
     chars = F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    out = out.where((F.col("n_dropped") == 0) | (F.trim("kept") != "")).withColumns({"text": text, "n_chars": chars})
-    return out.select(*docs.columns)
+    out = out.where((F.col("n_dropped") == 0) | (F.trim("kept") != ""))
+    made = {"text": text, "n_chars": chars}
+    return out.select(*[made.get(c, F.col(f"`{own.get(c, c)}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
