@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as Q
 from ..functions import sequences as S
+from ..operators import align as AL
 from ..operators import consensus as C
 from ..operators import genome as G
 from ..operators import intervals as I
 from ..operators import kmers as K
 from ..operators import msa as M
 from ..operators import repeats as R
+from ..operators.banded import find_repeats
 from ..sources import formats
 from ..streaming import first_events, window_counts
 from . import catalog
@@ -219,6 +221,32 @@ def quality_consensus(spark, sf_dir):
     return C.by_quality(cells).select("aln_id", F.col("pos").cast("long").alias("pos"), "letter", F.round("p", 6).alias("p"))
 
 
+def _neighbours(spark, sf_dir) -> DataFrame:
+    """Each item's sequence and the next one's."""
+    b = _read(spark, sf_dir, "benchmark").select("item_id", _dna(F.col("text")).alias("seq"))
+    return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("seq").alias("query")), "item_id").select("item_id", F.col("seq").alias("ref"), "query")
+
+
+def affine_alignment(spark, sf_dir):
+    """With free openings and unit costs the score is the edit distance."""
+    out = AL.align(_neighbours(spark, sf_dir), matrix=AL.unit_matrix(5, 0, -1, -1), opening=0)
+    return out.select("item_id", AL.score(F.col("segments")).cast("long").alias("score"))
+
+
+def fitted_alignment(spark, sf_dir):
+    out = AL.align(_neighbours(spark, sf_dir), matrix=AL.unit_matrix(5, 2, -1, -1), mode="fitted", opening=-3)
+    return out.select("item_id", AL.score(F.col("segments")).cast("long").alias("score"), F.size("segments").cast("long").alias("n"))
+
+
+def repeat_hits(spark, sf_dir):
+    pairs = _neighbours(spark, sf_dir).select(F.col("item_id").alias("pair"), F.col("ref").alias("target"), "query")
+    return find_repeats(pairs, 12, 0.6, 6, 12, 0, 32).select("pair", "a_start", "b_start", "a_end", "b_end", "score", F.round("error", 9).alias("error"))
+
+
+def z_complexity(spark, sf_dir):
+    return _seqs(spark, sf_dir).select("id", F.round(S.z_complexity(F.col("seq")), 9).alias("z"))
+
+
 def chromosome_shares(spark, sf_dir):
     """Places on chromosomes, one for each supplier: a join with an assembly's lengths."""
     c = G.chromosomes(spark, "hg19")
@@ -230,7 +258,7 @@ def event_windows(spark, sf_dir):
     return window_counts(first_events(_read(spark, sf_dir, "events"), "ts", ["user_id", "ts"]), "ts", "user_id", "1 day")
 
 
-QUERIES = {**catalog.QUERIES} | {f.__name__: f for f in (nearest_feature, coverage, feature_sets, feature_cube, feature_rollup, lowest_features, feature_ranks, free_features, limited_text, joined_sequences, masked_reads, solexa_scores, wf_complexity, kmer_frequencies, kmer_positions, kmer_index, seed_hits, best_hits, pair_mates, pair_lines, clipped_hits, pile_members, within_region, coding_parts, msa_flush, msa_is_flush, msa_subseq, msa_revcomp, msa_join, msa_columns, msa_add, scored_consensus, quality_consensus, chromosome_shares, event_windows)}
+QUERIES = {**catalog.QUERIES} | {f.__name__: f for f in (nearest_feature, coverage, feature_sets, feature_cube, feature_rollup, lowest_features, feature_ranks, free_features, limited_text, joined_sequences, masked_reads, solexa_scores, wf_complexity, kmer_frequencies, kmer_positions, kmer_index, seed_hits, best_hits, pair_mates, pair_lines, clipped_hits, pile_members, within_region, coding_parts, msa_flush, msa_is_flush, msa_subseq, msa_revcomp, msa_join, msa_columns, msa_add, scored_consensus, quality_consensus, chromosome_shares, event_windows, affine_alignment, fitted_alignment, repeat_hits, z_complexity)}
 
 _ALN = f"WITH s AS (SELECT conv_id AS aln_id, turn::BIGINT AS row, (turn % 5)::BIGINT AS \"offset\", {_SEQ} AS seq FROM conversations), x AS (SELECT *, min(\"offset\") OVER w AS a, max(\"offset\" + length(seq)) OVER w AS b FROM s WINDOW w AS (PARTITION BY aln_id)), f AS (SELECT aln_id, row, a AS \"offset\", repeat('-', (\"offset\" - a)::BIGINT) || seq || repeat('-', (b - \"offset\" - length(seq))::BIGINT) AS seq FROM x) "
 _COMP = "translate({}, 'acgt', 'tgca')"
@@ -273,6 +301,7 @@ SQL = {**catalog.SQL} | {
     "scored_consensus": _ALN + ", " + _CELLS.format("s") + ", n AS (SELECT aln_id, pos, letter, count(*) AS n, sum(count(*)) OVER (PARTITION BY aln_id, pos) AS total, row_number() OVER (PARTITION BY aln_id, pos ORDER BY count(*) DESC, letter) AS r FROM c GROUP BY aln_id, pos, letter), q AS (SELECT aln_id, pos, letter, CASE WHEN n = total THEN 254 ELSE floor(-10 * log10(1 - n / total) + 0.5) END::BIGINT AS q FROM n WHERE r = 1) SELECT aln_id, pos, CASE WHEN q < 3 THEN 'n' ELSE letter END AS letter, q FROM q",
     "quality_consensus": _ALN + ", " + _CELLS.format("s") + ", e AS (SELECT *, pow(10, -(5 + (pos * 7 + row * 3) % 30) / 10.0) AS e FROM c), l AS (SELECT aln_id, pos, " + ", ".join(f"{_ln(x)} AS s{x}" for x in "acgt") + " FROM e GROUP BY aln_id, pos), p AS (SELECT aln_id, pos, [" + ", ".join(f"exp(s{x} - greatest(sa, sc, sg, st))" for x in "acgt") + "] AS w FROM l), z AS (SELECT aln_id, pos, list_transform(w, lambda x: x / list_sum(w)) AS w FROM p) SELECT aln_id, pos, CASE WHEN len(list_filter(w, lambda x: abs(x - list_max(w)) < 1e-10)) > 1 THEN 'n' ELSE substr('acgt', list_position(w, list_max(w)), 1) END AS letter, round(list_max(w), 6) AS p FROM z",
     "chromosome_shares": "WITH c AS (SELECT i - 1 AS ord, split_part(x, ' ', 1) AS id, split_part(x, ' ', 2)::BIGINT AS n FROM (SELECT unnest(string_split('" + G.HG19 + "', ',')) AS x, generate_subscripts(string_split('" + G.HG19 + "', ','), 1) AS i)) SELECT id AS chrom, count(*) AS n, sum((s_suppkey * 1000003) % n)::BIGINT AS places FROM supplier JOIN c ON c.ord = s_suppkey % 24 GROUP BY id",
+    "affine_alignment": catalog.SQL["edit_alignment"],
     "event_windows": "SELECT user_id, date_trunc('day', ts) AS \"start\", count(*) AS n FROM (SELECT DISTINCT user_id, ts FROM events) GROUP BY 1, 2",
     "trimmed_reads": r"""WITH c AS (SELECT doc_id, i, round(1e9 * pow(10, -(ord(substr(x, i::BIGINT, 1)) - 33) / 10.0))::BIGINT AS p FROM (SELECT doc_id, x, unnest(range(1, length(x) + 1)) AS i FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^!-~]', '!', 'g') AS x FROM documents))), s AS (SELECT *, sum(50000000 - p) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM c), m AS (SELECT *, least(0, min(c) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS low FROM s), v AS (SELECT doc_id, i, c - low AS t, low < coalesce(lag(low) OVER (PARTITION BY doc_id ORDER BY i), 0) AS fell FROM m), w AS (SELECT *, max(CASE WHEN fell THEN i ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS from_ FROM v), b AS (SELECT doc_id, max_by((from_, i), (t, i)) AS x FROM w WHERE NOT fell GROUP BY doc_id) SELECT d.doc_id, coalesce(x[1], 0)::BIGINT AS start, coalesce(x[2], 0)::BIGINT AS "end" FROM documents d LEFT JOIN b USING (doc_id)""",
 }

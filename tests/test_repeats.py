@@ -33,3 +33,25 @@ def test_piles(spark):
     df = spark.createDataFrame([("c", 2, 4), ("c", 7, 9), ("c", 3, 4), ("c", 7, 8), ("c", 1, 3), ("c", 8, 9), ("c", 9, 11)], "loc string, start long, end long")
     assert sorted((r.start, r.end, r.n) for r in R.piles(df, ["loc"]).collect()) == [(1, 4, 3), (7, 11, 4)]
     assert sorted((r.start, r.end, r.n) for r in R.piles(df, ["loc"], 1).collect()) == [(1, 4, 3), (7, 9, 3), (9, 11, 1)]
+
+
+def test_repeats_from_words_to_alignments(spark):
+    from locusflow.operators.banded import find_repeats
+    from locusflow.operators.kmers import debruijn
+
+    pairs = spark.createDataFrame([("x", debruijn("acgt", 6), debruijn("acgt", 5)), ("y", "acgt" * 5, "a" * 20), ("z", None, "a")], "pair string, target string, query string")
+    got = sorted((r.pair, r.a_start, r.b_start, r.a_end, r.b_end, r.score) for r in find_repeats(pairs, 50, 0.8, 6, 50, 4, 32).collect())
+    assert got == [("x", *h) for h in [(1, 0, 290, 242, 101), (365, 286, 435, 345, 26), (437, 341, 507, 400, 26), (3201, 642, 3477, 873, 96), (3980, 948, 4066, 1021, 30)]]
+
+
+def test_pairs_and_clipping(spark):
+    pairs = spark.createDataFrame([(1, "c1", 2, 9, "c2", 30, 38, 12, -1, 0.05)], "pair int, a_loc string, a_start long, a_end long, b_loc string, b_start long, b_end long, score long, strand int, error double")
+    line = pairs.select(R.pair_lines().alias("value"))
+    assert line.first()[0] == "c2\tpals\thit\t31\t38\t12.0000\t-\t.\tTarget c1 3 9; maxe 0.05"
+    from locusflow.sources.formats import gff_rows
+
+    assert tuple(R.expanded(gff_rows(line)).first())[:8] == ("c2", 30, 38, "c1", 2, 9, 12, 0.05)
+    assert sorted((r.side, r.loc, r.mate_loc) for r in R.mates(pairs).collect()) == [("a", "c1", "c2"), ("b", "c2", "c1")]
+    traps = spark.createDataFrame([("c", 0, 100, 1, 5), ("d", 0, 9, 1, 5)], "loc string, bottom long, top long, left long, right long")
+    runs = spark.createDataFrame([("c", 20, 30), ("c", 90, 120)], "loc string, start long, end long")
+    assert sorted((r.loc, r.bottom, r.top) for r in R.clipped(traps, runs, ["loc"]).collect()) == [("c", 0, 20), ("c", 30, 90), ("d", 0, 9)]
