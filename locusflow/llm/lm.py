@@ -28,7 +28,7 @@ from .blocks import join_words, make_blocks, parts_for, with_values, words_in
 from .common import hash_words, lean, materialise, mix, texts_of, unpack, unpack_ints
 
 CLASSES = 16  # classes, and buckets in each
-ROW_TOKENS, LEAST_ROWS_LOG2, MOST_ROWS_LOG2 = 1024, 14, 20
+ROW_TOKENS, LEAST_ROWS_LOG2, MOST_ROWS_LOG2 = 4096, 14, 20
 BATCH = 1 << 15
 FEATURES, SMOOTH, START = 5, 60.0, 0.4  # SMOOTH: rows count as if seen so often more; START: share of a row's log ratio
 ROUNDS = 1
