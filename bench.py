@@ -6,9 +6,9 @@ import time
 
 from pyspark.sql import SparkSession
 
-from locusflow.plans.catalog import QUERIES
+from locusflow.plans.further import QUERIES
 
-NAMES = "overlaps islands kmer_histogram revcomp complexity majority_consensus edit_alignment motif_hits sessions".split()
+NAMES = "overlaps islands kmer_histogram revcomp complexity majority_consensus edit_alignment affine_alignment motif_hits seed_hits nearest_feature quality_consensus repeat_hits sessions".split()
 
 
 def main() -> None:

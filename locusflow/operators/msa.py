@@ -14,11 +14,10 @@ from ..functions import sequences as S
 from ..functions.alphabets import revcomp as _revcomp
 from .consensus import cells, flush
 
-_ALN = Window.partitionBy("aln_id")
-
 
 def _ends(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"_start": F.min("offset").over(_ALN), "_end": F.max(F.col("offset") + F.length("seq")).over(_ALN)})
+    whole = Window.partitionBy("aln_id")
+    return rows.withColumns({"_start": F.min("offset").over(whole), "_end": F.max(F.col("offset") + F.length("seq")).over(whole)})
 
 
 def is_flush(rows: DataFrame) -> DataFrame:

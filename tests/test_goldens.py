@@ -139,3 +139,12 @@ def test_functions_as_parameters(spark):
     assert [r.letter for r in C.with_udaf(cells, lambda letters: max(letters)).orderBy("pos").collect()] == ["a", "g"]
     table = C.motif_table([[5, 1, 0, 2], [0, 6, 1, 1]], 0.5)
     assert abs(C.motif_probability(table, 1.0, [0.25] * 4) - 1 / 16) < 1e-12
+
+
+def test_modules_load_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 50"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, timeout=120).returncode == 0
