@@ -400,7 +400,7 @@ def test_near_duplicates_among_boilerplate(spark):
     """Linked pairs in a crowd with a common body, with results that don't hang on the partitions."""
     body = [f"b{i}" for i in range(120)]
     rows = []
-    for k in range(700):
+    for k in range(250):
         own = [f"o{k}x{i}" for i in range(22)]
         rows += [(2 * k, " ".join(body + own)), (2 * k + 1, " ".join(body + own[:12] + [f"e{k}x{i}" for i in range(10)]))]
     sets = {d: _shingles(t, 4) for d, t in rows[:4]}
