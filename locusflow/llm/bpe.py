@@ -7,12 +7,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import dealt, join_words, make_blocks, parts_for, ragged_index, with_values
 from .common import lean, quiet_threads, unpack_ints
 
+BITS = 8 * 4096  # of one of Spark's bitmaps
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
@@ -26,8 +29,8 @@ def _tokenizer(path: str):
 
 
 def encode_blocks(docs: DataFrame, tokenizer_path: str, pieces: bool = False) -> DataFrame:
-    """Blocks of docs, each with the ids of its distinct words; see ids_of(). pieces: also the pieces of
-    these ids, as array<struct<id, piece>>, from a join with piece_table().
+    """Blocks of docs, each with the ids of its distinct words; see ids_of(). pieces: also the ids of all
+    docs, rising, and their pieces, as array<struct<id, piece>>, from a join with piece_table().
 
     Texts are split at ASCII white space, which no token of a vocabulary with word ends crosses.
     Each distinct word is encoded once for the whole corpus, in the task of its hash part."""
@@ -42,25 +45,38 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, pieces: bool = False) ->
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         return sizes, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
 
-    values = dealt(join_words(blocks, parts, None, ids), parts)
+    # with_values() asks for the same rows: a filter of one branch alone would go below the shuffle, which then is not shared
+    values = dealt(join_words(blocks, parts, None, ids).where("block is not null"), parts)
     found = with_values(blocks, values)
-    return found.join(_pieces_of(values, tokenizer_path), "block", "left") if pieces else found
+    return found.crossJoin(F.broadcast(_pieces_of(values, tokenizer_path))) if pieces else found
 
 
 def _pieces_of(values: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(block, pieces): the ids that occur in each block, joined with their pieces. The vocabulary has a
-    fixed number of rows, so it is broadcast."""
+    """One row, pieces: the distinct ids of the corpus, joined with their pieces. Tasks mark their ids in
+    bitmaps, so an id is one row of the join however many blocks and hash parts have it. The vocabulary
+    has a fixed number of rows, so it and the result are broadcast."""
+    pieces = piece_table(values.sparkSession, tokenizer_path)
+    buckets = -(-_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True) // BITS)
 
     @lean
-    def distinct(batches):
+    def mark(batches):
+        seen = np.zeros((buckets, BITS), bool)
+        for batch in batches:
+            for _, flat in batch.column(2).to_pylist():
+                seen.ravel()[unpack_ints(flat)] = True
+        own = np.flatnonzero(seen.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int32()), "bits": pa.array([np.packbits(seen[i], bitorder="little").tobytes() for i in own], pa.binary())})
+
+    @lean
+    def unmark(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                if row["block"] is not None:
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([row["block"]], pa.int64()), "ids": pa.array([np.unique(unpack_ints(row["values"][1]))], pa.list_(pa.int32()))})
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little"))
+                yield pa.RecordBatch.from_pydict({"id": pa.array(at + row["bucket"] * BITS, pa.int32())})
 
-    ids = values.mapInArrow(distinct, "block long, ids array<int>").select("block", F.explode("ids").alias("id"))
-    joined = ids.join(F.broadcast(piece_table(values.sparkSession, tokenizer_path)), "id")
-    return joined.groupBy("block").agg(F.collect_set(F.struct("id", "piece")).alias("pieces"))
+    marks = values.mapInArrow(mark, "bucket int, bits binary").groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    joined = marks.mapInArrow(unmark, "id int").join(F.broadcast(pieces), "id")
+    return joined.agg(F.array_sort(F.collect_list(F.struct("id", "piece"))).alias("pieces"))
 
 
 def ids_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +98,11 @@ def ids_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return ids, upto[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def decoded(ids: np.ndarray, pieces: list[dict]) -> tuple[memoryview, np.ndarray]:
-    """The pieces of all ids, each with a space after it, end to end, and their offsets."""
-    own = sorted((x["id"], x["piece"]) for x in pieces or [])
-    known = pa.array([piece.encode() + b" " for _, piece in own], pa.large_binary())
-    found = known.take(pa.array(np.searchsorted(np.array([i for i, _ in own], np.int64), ids.astype(np.int64))))
+def decoded(ids: np.ndarray, pieces: pa.StructArray) -> tuple[memoryview, np.ndarray]:
+    """The pieces of all ids, each with a space after it, end to end, and their offsets. pieces: id,
+    rising, and piece."""
+    known = pc.binary_join_element_wise(pieces.field("piece").cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+    found = known.take(pa.array(np.searchsorted(pieces.field("id").to_numpy(), ids.astype(np.int64))))
     at = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
     return memoryview(found.buffers()[2] or b""), at
 
@@ -126,17 +142,17 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer_path: str, with_text: bool = False) -> DataFrame:
     """Encode and decode every row: doc_id, n_tokens, ids_sha256, decoded_sha256[, decoded].
 
-    A null text is empty; rows that repeat are each answered, whatever their doc_id. The ids of a block
+    A null text is empty; rows that repeat are each answered, whatever their doc_id. The ids of the corpus
     meet their pieces in a join; digests are taken of whole documents."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", decoded string" * with_text
 
     @lean
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row, pieces in zip(batch.drop_columns("pieces").to_pylist(), batch.column("pieces"), strict=True):
                 ids, at = ids_of(row)
                 ids = np.ascontiguousarray(ids, "<u4")
-                raw, (data, where) = memoryview(ids.tobytes()), decoded(ids, row["pieces"])
+                raw, (data, where) = memoryview(ids.tobytes()), decoded(ids, pieces.values)
                 out = {"doc_id": row["doc_ids"], "n_tokens": np.diff(at), "ids_sha256": [], "decoded_sha256": [], "decoded": []}
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     text = bytes(data[where[a] : where[b] - 1]) if b > a else b""

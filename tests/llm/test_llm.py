@@ -56,6 +56,35 @@ def test_bpe(docs, empty):
     assert bpe.round_trip(empty, path).count() == 0
 
 
+def _nodes(node):
+    """The nodes of an executed plan that ran, each shared shuffle once."""
+    kind = node.getClass().getSimpleName()
+    if kind == "ReusedExchangeExec":
+        return
+    if kind == "AdaptiveSparkPlanExec":
+        yield from _nodes(node.executedPlan())
+    elif kind.endswith("QueryStageExec"):
+        yield from _nodes(node.plan())
+    else:
+        yield node
+        for i in range(node.children().length()):
+            yield from _nodes(node.children().apply(i))
+
+
+@pytest.mark.parametrize("n_blocks", [3, 12])
+def test_bpe_joins_an_id_once(spark, n_blocks):
+    """However many blocks and hash parts have a word, it is encoded once and its ids meet their pieces once."""
+    path = queries.tokenizer_path()
+    table = spark.createDataFrame([(i, f"{LONG} n{i}") for i in range(60)], "doc_id long, text string").repartition(n_blocks, "doc_id")
+    out = bpe.round_trip(table, path)
+    assert len(out.collect()) == 60
+    nodes = list(_nodes(out._jdf.queryExecution().executedPlan()))
+    distinct = {i for r in bpe.encode(table, path).collect() for i in r.ids}
+    met = [x for x in nodes if "Join" in x.nodeName() and "id#" in x.simpleString(200) and "block#" not in x.simpleString(200)]
+    assert [x.metrics().apply("numOutputRows").value() for x in met] == [len(distinct)]
+    assert sum("look_up(" in x.simpleString(200) for x in nodes) == 1
+
+
 def test_lines(docs, empty):
     got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.kept[-24:]) for r in lines.dedup_lines(docs).collect())
     assert got[1] == (1, 2, 0, "A line that repeats here") and got[2][:3] == (2, 2, 2) and got[3] == (3, 1, 0, "")
